@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import queries_chat, queries_urls
+from pagewright.llm import queries_chat, queries_html, queries_licenses, queries_urls
 
-_MODULES = (queries_urls, queries_chat)
+_MODULES = (queries_urls, queries_chat, queries_licenses, queries_html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
