@@ -92,6 +92,7 @@ class Packer:
             window, rest = rest.cut(self.largest)
             closed.append([window])
         if len(rest):
+            rest.ids = memoryview(bytes(rest.ids))  # what waits must not hold on to the whole document
             tier = self.tiers[bisect_left(self.tiers, len(rest))]
             if len(rest) == tier:
                 closed.append([rest])

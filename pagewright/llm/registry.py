@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import queries_chat, queries_html, queries_licenses, queries_packing, queries_urls, queries_warc
-
-_MODULES = (queries_packing, queries_urls, queries_chat, queries_licenses, queries_warc, queries_html)
+from pagewright.llm import queries_chat, queries_decontamination, queries_html, queries_licenses, queries_packing, queries_quality, queries_urls, queries_warc
+
+_MODULES = (
+    queries_packing,
+    queries_quality,
+    queries_urls,
+    queries_chat,
+    queries_licenses,
+    queries_warc,
+    queries_decontamination,
+    queries_html,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
