@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import queries_chat, queries_decontamination, queries_html, queries_licenses, queries_packing, queries_quality, queries_urls, queries_warc
+from pagewright.llm import queries_chat, queries_decontamination, queries_html, queries_licenses, queries_minhash, queries_packing, queries_quality, queries_urls, queries_warc
 
 _MODULES = (
     queries_packing,
@@ -14,6 +14,7 @@ _MODULES = (
     queries_urls,
     queries_chat,
     queries_licenses,
+    queries_minhash,
     queries_warc,
     queries_decontamination,
     queries_html,
