@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import BROADCAST_BYTES, stored, text_batches
+from pagewright.llm.common import BROADCAST_BYTES, small_side, stored, text_batches
 
 _RING_BITS = 20
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -243,4 +243,4 @@ def _resolved(sketches: DataFrame, labels: DataFrame) -> DataFrame:
 def remove_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: all columns of the rows whose doc_id is kept; rows without an id stay."""
     dropped = stored(near_duplicates(documents, k, percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-duplicates")
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(small_side(dropped, 32), "doc_id", "left_anti").select(*documents.columns)

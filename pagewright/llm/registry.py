@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import queries_chat, queries_decontamination, queries_html, queries_licenses, queries_minhash, queries_packing, queries_quality, queries_urls, queries_warc
+from pagewright.llm import queries_ann, queries_chat, queries_decontamination, queries_html, queries_licenses, queries_minhash, queries_packing, queries_quality, queries_urls, queries_warc
 
 _MODULES = (
     queries_packing,
+    queries_ann,
     queries_quality,
     queries_urls,
     queries_chat,
