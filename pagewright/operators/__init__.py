@@ -1 +1 @@
-"""TODO"""
+"""DataFrame operators on page facts, page state and page text."""

@@ -1 +1 @@
-"""TODO"""
+"""Whole runs: the document pipeline, its command line, and the registered queries."""
