@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagewright.functions import lines as L
 from pagewright.operators import facts as facts_of
@@ -19,7 +20,7 @@ from pagewright.operators import pages as pages_of
 
 
 def _map(function: Callable[[str], str]):
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def mapped(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
 
@@ -31,24 +32,24 @@ normalise_lists = _map(L.normalise_lists)
 split_index_runs = _map(lambda t: "\n".join(x for line in t.split("\n") for x in L.split_run(line)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fix_headings(texts: pa.Array, headings: pa.Array, has_scale: pa.Array) -> pa.Array:
     rows = zip(texts.to_pylist(), headings.to_pylist(), has_scale.to_pylist())
     return pa.array([None if t is None else L.fix_headings(t, [(h["norm"], h["level"]) for h in hs or []], bool(s)) for t, hs, s in rows], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def splice_tables(texts: pa.Array, tables: pa.Array) -> pa.Array:
     return pa.array([None if t is None else L.splice_tables(t, md or []) for t, md in zip(texts.to_pylist(), tables.to_pylist())], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def splice_links(texts: pa.Array, links: pa.Array) -> pa.Array:
     rows = zip(texts.to_pylist(), links.to_pylist())
     return pa.array([None if t is None else L.splice_links(t, [(x["anchor"], x["uri"]) for x in ls or []]) for t, ls in rows], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _repair(texts: pa.Array, headings: pa.Array, has_scale: pa.Array, tables: pa.Array, links: pa.Array) -> pa.Array:
     """All folds in one crossing into Python."""
     out = []

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # A channel from here on is white; images are halved to at most so many pixels a side.
 WHITE = 250
@@ -30,7 +31,7 @@ def white_share(data: bytes | None, width: int, height: int, channels: int) -> f
     return float((np.floor(pixels) >= WHITE).all(axis=2).mean())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def _white(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array) -> pa.Array:
     rows = zip(data, width.to_pylist(), height.to_pylist(), channels.to_pylist())
     return pa.array([white_share(d.as_py(), w or 0, h or 0, c or 0) for d, w, h, c in rows], pa.float64())
