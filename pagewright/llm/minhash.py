@@ -6,10 +6,11 @@ coordinate. All coordinates of a shingle are then one contiguous run of ranks.
 
 1. One Arrow pass reduces every document to its shingle set's size and 128-bit digest, and to
    its band keys. Documents of one digest are one class; only classes go on.
-2. Classes that share a band key are candidates. Buckets are never expanded into all their
-   pairs: each is linked to one member (round 1: to the one that is found in most buckets, round 2: to the
-   smallest), links are verified on full sets, and components are contracted. Only between members of a
-   bucket that are then still in different components is every pair verified (round 3), so
+2. Classes that share a band key are candidates. Buckets are never expanded into pairs:
+   each is linked to one member (round 1: to the one that is found in most buckets, round 2: to the
+   smallest), links are verified on full sets, and components are contracted. In round 3 the buckets
+   whose members are still in different components are compared in blocks of bounded size: all members outside a
+   bucket's largest component meet all its members inside a task, and only links come out. So
    no link between candidates is lost.
 3. Components come from alternating large-star and small-star steps; edges and labels stay distributed.
 
@@ -175,14 +176,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     members = stored(members.join(candidates.drop("doc_id"), "cls"), "bucket-members")
     sets = _candidate_sets(documents, candidates, k)
     labels = spark.createDataFrame([], "cls binary, label binary")
-    edges = checked = None
-    for choose in ("medoid", "smallest", "all"):
-        pairs = _pairs(members, labels, choose, percent)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = stored(_verified(pairs, sets, percent), "links")
+    edges = None
+    for choose in ("medoid", "smallest", "blocks"):
+        if choose == "blocks":
+            found = _block_links(_open_members(members, labels), sets, percent)
+        else:
+            found = _verified(stored(_star_pairs(members, labels, choose, percent), "pairs"), sets, percent)
+        found = stored(found, "links")
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():
             labels = connected(edges)
@@ -199,26 +199,89 @@ def _candidate_sets(documents: DataFrame, candidates: DataFrame, k: int) -> Data
     return stored(shingle_sets(texts, k).dropDuplicates(["cls"]), "sets")
 
 
-def _pairs(members: DataFrame, labels: DataFrame, choose: str, percent: int) -> DataFrame:
-    """Pairs (a < b) of one bucket, in different components, whose sizes allow the similarity."""
-    rows = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """Of each bucket that holds more than one component: the member found in most buckets, and the smallest."""
     split = rows.groupBy("key").agg(
         F.min("label").alias("low"),
         F.max("label").alias("high"),
         F.max_by(F.struct("cls", "n", "label"), F.struct("buckets", "cls")).alias("medoid"),
         F.min_by(F.struct("cls", "n", "label"), F.col("cls")).alias("smallest"),
     )
-    split = split.filter("low < high")
-    if choose == "all":
-        rows = stored(rows.join(split.select("key"), "key"), "open-buckets")
-        other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("cls", "n", "label")))
-        joined = rows.join(other, "key").filter("cls < cls_2")
-    else:
-        joined = rows.join(split.select("key", *(F.col(f"{choose}.{c}").alias(f"{c}_2") for c in ("cls", "n", "label"))), "key")
+    return split.filter("low < high").select("key", "medoid", "smallest")
+
+
+def _star_pairs(members: DataFrame, labels: DataFrame, choose: str, percent: int) -> DataFrame:
+    """Each member with its bucket's centre (a < b), if in different components and if their sizes allow the similarity."""
+    rows = _labelled(members, labels)
+    joined = rows.join(_centres(rows).select("key", *(F.col(f"{choose}.{c}").alias(f"{c}_2") for c in ("cls", "n", "label"))), "key")
     fits = (F.col("label") != F.col("label_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
     return joined.filter(fits).select(F.least("cls", "cls_2").alias("a"), F.greatest("cls", "cls_2").alias("b")).distinct()
 
 
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """group, cls, label of all members of buckets that hold more than one component.
+
+    Buckets with the same medoid are one group: the buckets of a set of similar classes mostly share theirs, so a
+    class is in few groups, not in one for each band.
+    """
+    rows = _labelled(members, labels)
+    centres = _centres(rows).select("key", F.col("medoid.cls").alias("group"))
+    return stored(rows.join(centres, "key").select("group", "cls", "label").distinct(), "open-members")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 256, block: int = 512) -> DataFrame:
+    """Links (a < b) between members of a group in different components, at least one for each two components linked there.
+
+    Members outside the group's largest component meet all members, block by block.
+    """
+    sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("largest"))
+    minor_blocks = F.ceil((F.col("total") - F.col("largest")) / minor_block).cast("int")
+    blocks = F.ceil(F.col("total") / block).cast("int")
+    held = rows.join(sizes, "group").join(sets, "cls")
+    place = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    minor = held.filter("label <> major").select("group", place(minor_blocks).alias("i"), each(blocks).alias("j"), "cls", "label", "shingles")
+    again = [F.col(c).alias(c) for c in ("group", "cls", "label", "shingles")]  # new columns, else the two sides can't be told apart
+    every = held.select(*again, each(minor_blocks).alias("i"), place(blocks).alias("j"))
+    keys = ["group", "i", "j"]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = _compare(left, right, percent) if left.num_rows and right.num_rows else []
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def _compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """Linked pairs across labels, one for each left row and right label; sizes of intersections are exact."""
+    column = right["shingles"].combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    known, places = np.unique(values, return_inverse=True)
+    sizes = np.diff(ends, prepend=0)
+    right_cls, right_label = right["cls"].to_pylist(), right["label"].to_pylist()
+    flags = np.zeros(len(known), np.uint8)
+    out = []
+    for cls, label, own in zip(left["cls"].to_pylist(), left["label"].to_pylist(), left["shingles"]):
+        own = own.values.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(known, own)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)]
+        flags[at] = 1
+        both = np.add.reduceat(flags[places], ends - sizes, dtype=np.int64)  # no set is empty
+        flags[at] = 0
+        met = set()
+        for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+            if right_label[k] != label and right_label[k] not in met:
+                met.add(right_label[k])
+                out.append((min(cls, right_cls[k]), max(cls, right_cls[k])))
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets are similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
