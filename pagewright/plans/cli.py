@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import pages as pages_of
 from pagewright.plans.pipeline import DocumentPipeline, Options
-from pagewright.sources import pdf
+from pagewright.sources import files, pdf
 from pagewright.sources.config import ConfigError, load_config, parse_page_spec
 from pagewright.sources.recognition import probe
 
@@ -107,12 +107,12 @@ def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     run.recognise(facts)
     if pages_of.failure_gates(run.state.pages(), documents).first()["all_recognition_failed"]:
         raise Exit(NO_RECOGNITION, "no page could be recognised")
-    markdown = run.combine(facts, run.repair(facts)).first()
+    repaired = run.repair(facts).cache()
+    markdown = run.combine(facts, repaired).first()
     try:
-        target = path.with_suffix(".md")
-        partial = target.with_suffix(".md.partial")
-        partial.write_text(markdown["markdown"] if markdown else "", encoding="utf-8")
-        partial.replace(target)
+        files.export_pages(repaired, folder, count)
+        files.write_text(path.with_suffix(".md"), markdown["markdown"] if markdown else "")
+        files.export_state(run.state.pages(), folder / "state.json", str(path.resolve()), count, True)
     except OSError as error:
         raise Exit(NOT_WRITTEN, str(error)) from error
     print(pages_of.run_summary(run.state.pages()).first().asDict())

@@ -114,3 +114,28 @@ def render(spark: SparkSession, path: str, pages: DataFrame, scale: float = REND
 
     rows = files.select(F.col("path").alias("doc_id"), "content").join(wanted, "doc_id")
     return rows.mapInPandas(draw, "doc_id string, page_num int, content binary, error string")
+
+
+def crop_regions(spark: SparkSession, path: str, boxes: DataFrame, scale: float = RENDER_SCALE) -> DataFrame:
+    """doc_id, page_num, number, content (JPEG), error for regions (doc_id, page_num, number, x0, y0, x1, y1) in points."""
+    wanted = boxes.groupBy("doc_id").agg(F.collect_list(F.struct("page_num", "number", "x0", "y0", "x1", "y1")).alias("wanted"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+
+    def draw(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        fitz = _library()
+        for batch in batches:
+            for name, content, regions in zip(batch["doc_id"], batch["content"], batch["wanted"]):
+                for r in regions:
+                    image = error = None
+                    try:
+                        with fitz.open(stream=content, filetype="pdf") as document:
+                            clip = fitz.Rect(r["x0"], r["y0"], r["x1"], r["y1"])
+                            image = document[int(r["page_num"]) - 1].get_pixmap(matrix=fitz.Matrix(scale, scale), clip=clip).tobytes("jpeg")
+                    except Exception as failure:  # a diagram never fails its page
+                        error = str(failure)
+                    yield pd.DataFrame([{"doc_id": name, "page_num": int(r["page_num"]), "number": int(r["number"]), "content": image, "error": error}])
+
+    rows = files.select(F.col("path").alias("doc_id"), "content").join(wanted, "doc_id")
+    return rows.mapInPandas(draw, "doc_id string, page_num int, number int, content binary, error string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.plans import cli
 from pagewright.plans.pipeline import DocumentPipeline, Options
-from pagewright.sources import pdf
+from pagewright.sources import files, pdf
 from pagewright.sources.config import Config, ConfigError, Instance, load_config, parse_config, parse_page_spec
 from pagewright.sources.images import crop, white_share
 from pagewright.sources.recognition import ReplyError, http_transport, parse_reply, probe, try_instances
@@ -160,3 +160,32 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         write_page_stream(read_page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["markdown"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a b"]
+
+
+def test_file_layout(spark, tmp_path):
+    folder = tmp_path / "book"
+    pages = spark.createDataFrame([(1, "a"), (12, "é")], "page_num int, markdown string")
+    assert files.export_pages(pages, folder, 12) == 2
+    assert (folder / "pages/page_01.md").read_text() == "a"
+    assert dict(tuple(r) for r in files.read_pages(spark, folder.as_uri()).collect()) == {1: "a", 12: "é"}
+    state = spark.createDataFrame([(1, True, False, True, False, 2, "raw")], "page_num int, image_done boolean, image_failed boolean, ocr_done boolean, ocr_failed boolean, diagram_count int, ocr_response string")
+    files.export_state(state, folder / "state.json", "book.pdf", 12, True)
+    loaded = files.load_state(folder / "state.json", "book.pdf", 12)
+    assert loaded.status == "complete" and loaded.pages["1"].diagram_count == 2 and len(loaded.pages) == 12
+    loaded.reset({1})
+    assert loaded.status == "not_started"
+    with pytest.raises(StateMismatch):
+        files.load_state(folder / "state.json", "other.pdf", 12)
+    assert files.load_state(folder / "none.json", "x", 1) == DocumentState.fresh("x", 1)
+    (tmp_path / "book.md").write_text("all")
+    (folder / "diagrams").mkdir()
+    (folder / "diagrams/page_01_diagram_1.jpg").write_bytes(b"j")
+    target = files.archive_pages(folder, {1, 3}, 12)
+    assert target.name == "v1" and sorted(str(p.relative_to(target)) for p in target.rglob("*.*")) == ["book.md", "diagrams/page_01_diagram_1.jpg", "pages/page_01.md"]
+    assert files.archive_pages(folder, {1}, 12) is None
+    assert files.archive_pages(folder, {12}, 12).name == "v2"
+
+
+def test_missing_pdf_library_is_named():
+    with pytest.raises(pdf.PdfLibraryMissing):
+        pdf._library()
