@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,25 +24,39 @@ def font_histogram(spans: DataFrame) -> DataFrame:
 
 def body_size(spans: DataFrame) -> DataFrame:
     """The size of most characters; of equals the one seen first."""
-    ranked = font_histogram(spans)
-    top = F.max_by("size", F.struct("chars", *(-F.col(f"first_place.{c}") for c in ("page_num", "block_no", "line_no", "span_no"))))
-    return ranked.groupBy("doc_id").agg(top.alias("body_size"))
+    return font_histogram(spans).groupBy("doc_id").agg(_most_and_first().alias("body_size"))
+
+
+def _most_and_first() -> Column:
+    """The size with most characters, of equals the one seen first."""
+    return F.max_by("size", F.struct("chars", *(-F.col(f"first_place.{c}") for c in ("page_num", "block_no", "line_no", "span_no"))))
 
 
 def heading_scale(spans: DataFrame) -> DataFrame:
-    """doc_id, size, level: sizes clearly above the body's, largest first, levels 1 to 6."""
-    sizes = font_histogram(spans).join(body_size(spans), "doc_id").filter(F.col("size") >= F.lit(HEADING_RATIO) * F.col("body_size"))
-    rank = F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("size")))
+    """doc_id, size, level: sizes clearly above the body's, largest first, levels 1 to 6.
+
+    Body size and ranking are windows over one partitioning of the histogram, so it is shuffled once.
+    """
+    document = W.partitionBy("doc_id")
+    sizes = font_histogram(spans).withColumn("body_size", _most_and_first().over(document)).filter(F.col("size") >= F.lit(HEADING_RATIO) * F.col("body_size"))
+    rank = F.dense_rank().over(document.orderBy(F.desc("size")))
     return sizes.select("doc_id", "size", F.least(rank, F.lit(DEEPEST_LEVEL)).alias("level"))
 
 
 def dominant_sizes(spans: DataFrame) -> DataFrame:
-    """Each text line's size and text: the size of most of its characters, of equals the first."""
+    """Each text line's size and text: the size of most of its characters, of equals the first.
+
+    A line's spans meet in one row by one shuffle; what follows are array functions.
+    """
+    weight = F.length(F.regexp_replace("text", f"^{T.BLANK}+|{T.BLANK}+$", "")).cast("long")
     line = ["doc_id", "page_num", "block_no", "line_no"]
-    sized = visible_spans(spans).groupBy(*line, "size").agg(F.sum("weight").alias("w"), F.min("span_no").alias("first"))
-    top = sized.groupBy(*line).agg(F.max_by("size", F.struct("w", -F.col("first"))).alias("size"))
-    texts = spans.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("span_no", "text"))).alias("s"))
-    return top.join(texts.select(*line, F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text")), line)
+    rows = spans.select(*line, F.struct("span_no", "text", "size", weight.alias("weight")).alias("span"))
+    grouped = rows.groupBy(*line).agg(F.array_sort(F.collect_list("span")).alias("s")).filter(F.exists("s", lambda x: x["weight"] > 0))
+    visible = F.filter("s", lambda x: x["weight"] > 0)
+    seen = F.array_distinct(F.transform(visible, lambda x: x["size"]))  # in order of appearance
+    held = lambda size: F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.when(x["size"] == size, x["weight"]).otherwise(0))
+    best = F.array_max(F.transform(seen, lambda size, i: F.struct(held(size).alias("w"), (-i).alias("first"), size.alias("size"))))
+    return grouped.select(*line, best["size"].alias("size"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
 
 
 def page_headings(spans: DataFrame) -> DataFrame:

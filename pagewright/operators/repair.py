@@ -104,7 +104,8 @@ def repair_pages(
     """
     key = ["doc_id", "page_num"]
     scaled = headings_of.heading_scale(spans).select("doc_id").distinct().withColumn("has_scale", F.lit(True))
-    rows = replies.join(headings_of.page_headings(spans), key, "left").join(scaled, "doc_id", "left")
+    flags = replies.select(*key).distinct().join(scaled, "doc_id")  # by keys alone: texts are only ever dealt by page
+    rows = replies.join(headings_of.page_headings(spans), key, "left").join(flags, key, "left")
     rows = rows.join(facts_of.page_tables(tables), key, "left").join(facts_of.page_image_rects(image_rects), key, "left")
     no_links = F.lit(None).cast("array<struct<anchor:string,uri:string>>")
     rows = rows.join(facts_of.page_links(links), key, "left") if include_links else rows.withColumn("links", no_links)
