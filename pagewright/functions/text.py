@@ -6,6 +6,8 @@ hold the four information separators, so they are listed with it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,29 +110,36 @@ def fence_states(lines: Column) -> Column:
     return F.aggregate(lines, zero, step, lambda acc: acc["code"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: what stands in a lambda is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def render_table(rows: Column) -> Column:
     """An array of rows (arrays of cells) as a Markdown table; empty for no rows.
 
     The first row is the header, short rows are padded, cells to the width of their column.
     """
-    columns = F.array_max(F.transform(rows, F.size))
-    cells = lambda row: F.transform(F.sequence(F.lit(0), columns - 1), lambda c: clean_cell(F.get(row, c)))
-    clean = F.transform(rows, cells)
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  binds once
 
-    def render(table: Column) -> Column:
-        widths = F.transform(F.sequence(F.lit(0), F.size(F.get(table, F.lit(0))) - 1), lambda c: F.array_max(F.transform(table, lambda r: F.length(F.get(r, c)))))
-
-        def with_widths(w: Column) -> Column:
-            pad = lambda text, n: F.concat(text, F.repeat(F.lit(" "), n - F.length(text)))  # noqa: E731  rpad would cut
-            line = lambda row: F.concat(F.lit("| "), F.array_join(F.zip_with(row, w, pad), " | "), F.lit(" |"))
-            delimiter = F.concat(F.lit("|"), F.array_join(F.transform(w, lambda n: F.repeat(F.lit("-"), n + 2)), "|"), F.lit("|"))
-            lines = F.transform(table, line)
-            return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(delimiter), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+    def numbers(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
 
-        return let(widths, with_widths)
+    def clean(columns: Column) -> Column:
+        return F.transform(rows, lambda row: F.transform(numbers(columns), lambda c: clean_cell(F.get(row, c))))
 
-    return F.when(F.size(rows) > 0, F.when(columns > 0, let(clean, render)).otherwise("|  |\n||")).otherwise("")
+    def render(table: Column) -> Column:
+        columns = numbers(F.size(F.get(table, F.lit(0))))
+        widths = F.transform(columns, lambda c: F.array_max(F.transform(table, lambda r: F.length(F.get(r, c)))))
+        return _let(widths, lambda w: lines(table, w))
+
+    def lines(table: Column, widths: Column) -> Column:
+        pad = lambda text, n: F.concat(text, F.repeat(F.lit(" "), n - F.length(text)))  # noqa: E731  rpad would cut
+        line = lambda row: F.concat(F.lit("| "), F.array_join(F.zip_with(row, widths, pad), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.array_join(F.transform(widths, lambda n: F.repeat(F.lit("-"), n + 2)), "|"), F.lit("|"))
+        return F.array_join(F.transform(table, lambda row, i: F.when(i == 0, F.concat(line(row), F.lit("\n"), rule)).otherwise(line(row))), "\n")
+
+    most = F.array_max(F.transform(rows, F.size))
+    return F.when(F.size(rows) == 0, "").when(most == 0, F.concat(F.lit("|  |\n||"), F.repeat(F.lit("\n|  |"), F.size(rows) - 1))).otherwise(_let(most, lambda n: _let(clean(n), render)))
 
 
 def diagram_reference(stem: Column, number: Column) -> Column:
