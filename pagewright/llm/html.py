@@ -93,10 +93,10 @@ def parse(page: str) -> _Node:
     while at < end:
         found = _TOKEN.search(page, at)
         if not found:
-            node.children.append(page[at:])
+            node.children.append(html_lib.unescape(page[at:]))
             break
         if found.start() > at:
-            node.children.append(page[at : found.start()])
+            node.children.append(html_lib.unescape(page[at : found.start()]))  # here, as a reference never spans a tag
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -142,7 +142,7 @@ def parse(page: str) -> _Node:
 
 
 def _clean(text: str) -> str:
-    return " ".join(html_lib.unescape(text).split())
+    return " ".join(text.split())
 
 
 def _score(root: _Node) -> list[_Node]:

@@ -184,6 +184,7 @@ def test_html_edge_cases(spark):
     frame = spark.createDataFrame([(i, None, p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
     found = {r["page_id"]: r for r in H.extract_main_text(frame).collect()}
     assert [found[i]["text"] for i in (0, 1, 2, 3, 7)] == ["", "", "plain", "", ""]
+    assert H.main_text("<p>a &am<b>p; b</b> &lt;i&gt; &eacute;&nbsp;x</p>") == "a &amp; b <i> é x"
     assert found[6]["text"] == "deep text, deep text, deep text" and found[8]["n_chars"] == 50_000 * 6 - 1
     assert H.extract_main_text(frame.limit(0)).count() == 0
 
