@@ -91,7 +91,7 @@ class SuffixAutomaton:
 
     Each template is inserted from the initial state, so the automaton accepts exactly
     the substrings of single templates. A state has the length of its longest string, a
-    link and, for one end position per template that holds it, the template's bit.
+    suffix link and, for each template that holds its strings, the positions where they end.
     """
 
     def __init__(self, templates: list[list[bytes]]):
@@ -194,8 +194,7 @@ def chain(matches: list[tuple[int, int, int]], automaton: SuffixAutomaton, slack
                         if covered + more > pick[2]:
                             pick = (end, place, covered + more, start)
                 grown.append(pick)
-            # the longest chains suffice: there are no more of them than places in a template
-            open_chains[number] = sorted(chains + grown, key=lambda c: -c[2])[: 2 * len(automaton.templates[number])]
+            open_chains[number] = chains + grown  # those too far back have been left out above
             for _, _, covered, start in grown:
                 if covered > best.get(number, (0, 0, 0))[0]:
                     best[number] = (covered, start, end + 1)
