@@ -38,31 +38,41 @@ _PRIME = np.uint64(0x100000001B3)
 
 
 class _Vocabulary(dict):
-    """Raw token -> number; ``hashes`` and ``kinds`` hold what is known of a number."""
+    """Raw token -> number; the hash and kind of a number stand in arrays. Emptied when it is large, to bound a worker's memory."""
+
+    most = 200_000
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
-        self.arrays = (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.known, self.fresh = 0, []
+        self.hashes, self.kinds = np.zeros(1 << 15, np.uint64), np.zeros(1 << 15, np.int8)
 
     def __missing__(self, token: str) -> int:
         first = token[0]
         lower = token.lower()
         kind = _END if first in ".!?\n" else _NUMBER if first.isdigit() else _CAPITAL if first.isupper() else _UNIT if lower in UNITS else _PLAIN
-        self.hashes.append(xxhash.xxh3_64_intdigest(lower))
-        self.kinds.append(kind)
-        self[token] = number = len(self.kinds) - 1
+        self[token] = number = self.known + len(self.fresh)
+        self.fresh.append((xxhash.xxh3_64_intdigest(lower), kind))
         return number
 
     def lookup(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.kinds) > 1_000_000:  # bounds a worker's memory
-            self.__init__()
+        """Hashes and kinds of tokens."""
+        if self.known > self.most:
+            self._empty()
         numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.arrays[1]) < len(self.kinds):
-            known = len(self.arrays[1])
-            self.arrays = (np.append(self.arrays[0], np.array(self.hashes[known:], np.uint64)), np.append(self.arrays[1], np.array(self.kinds[known:], np.int8)))
-        return self.arrays[0][numbers], self.arrays[1][numbers]
+        if self.fresh:
+            total = self.known + len(self.fresh)
+            if total > len(self.kinds):
+                room = max(total, 2 * len(self.kinds)) - len(self.kinds)
+                self.hashes, self.kinds = np.append(self.hashes, np.zeros(room, np.uint64)), np.append(self.kinds, np.zeros(room, np.int8))
+            self.hashes[self.known : total] = np.array([h for h, _ in self.fresh], np.uint64)
+            self.kinds[self.known : total] = [k for _, k in self.fresh]
+            self.known, self.fresh = total, []
+        return self.hashes[numbers], self.kinds[numbers]
 
 
 class Canonical:
