@@ -55,14 +55,19 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = scratch(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for frames that nothing reads any more; others are left alone."""
+    for frame in frames:
+        path = getattr(frame, "scratch_path", None)
+        if path:
+            context = frame.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_side(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

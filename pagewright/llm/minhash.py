@@ -8,7 +8,7 @@ coordinate. All coordinates of a shingle are then one contiguous run of ranks.
    its band keys. Documents of one digest are one class; only classes go on.
 2. Classes that share a band key are candidates. Buckets are never expanded into pairs:
    each is linked to one member (round 1: to the one that is found in most buckets, round 2: to the
-   smallest), links are verified on full sets, and components are contracted. In round 3 the buckets
+   smallest), links are verified on full sets, and components are contracted as far as one step goes. In round 3 the buckets
    whose members are still in different components are compared in blocks of bounded size: all members outside a
    bucket's largest component meet all its members inside a task, and only links come out. So
    no link between candidates is lost.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import BROADCAST_BYTES, small_side, stored, text_batches
+from pagewright.llm.common import BROADCAST_BYTES, release, small_side, stored, text_batches
 
 _RING_BITS = 20
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -41,7 +41,7 @@ class _Words(dict):
     """Word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -130,27 +130,40 @@ def shingle_sets(documents: DataFrame, k: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "cls binary, shingles array<long>")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(cls, label) of every node of the edges (a, b): label is the smallest node of its component.
+def contracted(edges: DataFrame, full: bool = True) -> DataFrame:
+    """Stored edges (a, b), a > b, of the same components as the given ones, contracted by large-star and small-star steps.
 
-    Alternating large-star and small-star steps; each halves the distances at least, and
-    every step's edges are written, so a lost executor costs one step. Neighbourhoods are
-    reduced to their minimum by partial aggregation, never collected.
+    Contracted fully, every component is a star: each node but the smallest has one edge, to the smallest.
+    Otherwise one pair of steps is made, which is enough for stars. Every step's edges are written, so a lost
+    executor costs one step. Neighbourhoods are reduced to their minimum by partial aggregation, never collected.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(large, "large-star")
+        release(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = stored(small.select("e.*").filter("u <> v").distinct(), "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
-        before = state
+        release(large)
+        if not full or _are_stars(now):
+            out = now.select(F.col("u").alias("a"), F.col("v").alias("b"))
+            out.scratch_path = now.scratch_path
+            return out
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges down, or edges both down and up."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """(cls, label) of every node of contracted edges: nodes of one label are in one component."""
+    nodes = edges.select(F.col("a").alias("cls"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("cls"), F.col("b").alias("label")))
+    return nodes.groupBy("cls").agg(F.min("label").alias("label"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -170,22 +183,26 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     classes = stored(sketches.filter("cls IS NOT NULL").dropDuplicates(["cls"]), "classes")
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("key")
-    members = stored(keyed.join(shared, "key"), "members")
-    facts = members.groupBy("cls").agg(F.count(F.lit(1)).alias("buckets"))
+    bare = stored(keyed.join(shared, "key"), "members")
+    facts = bare.groupBy("cls").agg(F.count(F.lit(1)).alias("buckets"))
     candidates = stored(classes.select("cls", "doc_id", F.col("n_shingles").alias("n")).join(facts, "cls"), "candidates")
-    members = stored(members.join(candidates.drop("doc_id"), "cls"), "bucket-members")
+    members = stored(bare.join(candidates.drop("doc_id"), "cls"), "bucket-members")
     sets = _candidate_sets(documents, candidates, k)
-    labels = spark.createDataFrame([], "cls binary, label binary")
-    edges = None
+    release(classes, bare, candidates)
+    edges = spark.createDataFrame([], "a binary, b binary")
     for choose in ("medoid", "smallest", "blocks"):
+        labels = labels_of(edges)
         if choose == "blocks":
-            found = _block_links(_open_members(members, labels), sets, percent)
+            pairs = stored(_open_members(members, labels), "open-members")
+            found = _block_links(pairs, sets, percent)
         else:
-            found = _verified(stored(_star_pairs(members, labels, choose, percent), "pairs"), sets, percent)
-        found = stored(found, "links")
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.isEmpty():
-            labels = connected(edges)
+            pairs = stored(_star_pairs(members, labels, choose, percent), "pairs")
+            found = _verified(pairs, sets, percent)
+        links = stored(found, "links")
+        before, edges = edges, contracted(edges.unionByName(links), full=choose == "blocks")
+        release(pairs, links, before)
+    release(members, sets)
+    labels = labels_of(edges)
     return _resolved(sketches, labels)
 
 
@@ -223,26 +240,33 @@ def _star_pairs(members: DataFrame, labels: DataFrame, choose: str, percent: int
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, cls, label of all members of buckets that hold more than one component.
+    """group, cls, label, n of all members of buckets that hold more than one component.
 
     Buckets with the same medoid are one group: the buckets of a set of similar classes mostly share theirs, so a
     class is in few groups, not in one for each band.
     """
     rows = _labelled(members, labels)
     centres = _centres(rows).select("key", F.col("medoid.cls").alias("group"))
-    return stored(rows.join(centres, "key").select("group", "cls", "label").distinct(), "open-members")
+    return rows.join(centres, "key").select("group", "cls", "label", "n").distinct()
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 256, block: int = 512) -> DataFrame:
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 256, block: int = 512, most_shingles: int = 1_000_000) -> DataFrame:
     """Links (a < b) between members of a group in different components, at least one for each two components linked there.
 
-    Members outside the group's largest component meet all members, block by block.
+    Members outside the group's largest component meet all members, block by block. A block holds about
+    ``block`` (or ``minor_block``) members, fewer if their sets have more than ``most_shingles`` together.
     """
-    sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("largest"))
-    minor_blocks = F.ceil((F.col("total") - F.col("largest")) / minor_block).cast("int")
-    blocks = F.ceil(F.col("total") / block).cast("int")
-    held = rows.join(sizes, "group").join(sets, "cls")
+    sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingled"))
+    sizes = sizes.groupBy("group").agg(
+        F.max_by("label", F.struct("members", "label")).alias("major"),
+        F.max_by(F.struct("members", "shingled"), F.struct("members", "label")).alias("largest"),
+        F.sum("members").alias("members"),
+        F.sum("shingled").alias("shingled"),
+    )
+    cut = lambda members, size, shingled: F.greatest(F.ceil(members / size), F.ceil(shingled / most_shingles)).cast("int")
+    minor_blocks = cut(F.col("members") - F.col("largest.members"), minor_block, F.col("shingled") - F.col("largest.shingled"))
+    blocks = cut(F.col("members"), block, F.col("shingled"))
+    held = rows.drop("n").join(sizes, "group").join(sets, "cls")
     place = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     minor = held.filter("label <> major").select("group", place(minor_blocks).alias("i"), each(blocks).alias("j"), "cls", "label", "shingles")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import scratch, small_side, stored, text_batches
+from pagewright.llm.common import release, scratch, small_side, stored, text_batches
 
 _HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"  # the tables hold no fetch time; a constant keeps retried tasks identical
@@ -126,19 +126,18 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + length
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, key, refers_to) of the rows whose payload a smaller page_id already has; key: hex SHA-1.
+def _payload_keys(pages: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, key) of the rows that may be revisits; key: hex SHA-1 of a payload of at least ``min_bytes``."""
+    payload = _payload(F.col("html"))
+    return pages.filter((F.octet_length(payload) >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1(payload).alias("key"))
 
-    Payloads are grouped by digest; of a group with at least ``min_bytes`` bytes the smallest
-    page_id is the response. The group sizes are pre-aggregated, so a payload that many
-    pages share is combined before the shuffle; only keys travel, never payloads.
+
+def mark_revisits(keyed: DataFrame) -> DataFrame:
+    """(page_id, key, refers_to) of the rows whose payload a smaller page_id already has.
+
+    Of the pages of one key the smallest page_id is the response. Groups are pre-aggregated, so a
+    payload that many pages share is combined before the shuffle; only keys travel, never payloads.
     """
-    keyed = stored(
-        pages.select("page_id", F.sha1(_payload(F.col("html"))).alias("key"), F.octet_length(_payload(F.col("html"))).alias("size"))
-        .filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull())
-        .drop("size"),
-        "warc-keys",
-    )
     firsts = keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return keyed.join(firsts, "key").filter("page_id <> refers_to").select("page_id", "key", "refers_to").distinct()
 
@@ -155,9 +154,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
     each is written. An empty table writes an empty folder. No file holds more than
     ``per_file`` segments.
     """
-    revisits = mark_revisits(pages, min_bytes)
+    keyed = stored(_payload_keys(pages, min_bytes), "warc-keys")
+    revisits = stored(mark_revisits(keyed), "warc-revisits")
     rows = pages.select("page_id", "url", _payload(F.col("html")).alias("payload"), F.sha1(_payload(F.col("html"))).alias("key"))
-    rows = rows.join(small_side(stored(revisits, "warc-revisits"), 96), ["page_id", "key"], "left").drop("key")
+    rows = rows.join(small_side(revisits, 96), ["page_id", "key"], "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,6 +173,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
 
     records = rows.mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    release(keyed, revisits)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -227,7 +227,7 @@ def test_components_of_long_chains(spark):
     node = lambda i: b"%04d" % i
     edges = [(node(i), node(i + 1)) for i in range(60)] + [(node(100), node(i)) for i in range(101, 140)]
     frame = spark.createDataFrame(edges, "a binary, b binary")
-    found = {bytes(r["cls"]): bytes(r["label"]) for r in minhash.connected(frame).collect()}
+    found = {bytes(r["cls"]): bytes(r["label"]) for r in minhash.labels_of(minhash.contracted(frame)).collect()}
     assert found == {node(i): node(0) for i in range(61)} | {node(i): node(100) for i in range(100, 140)}
 
 
@@ -303,6 +303,16 @@ def test_two_variants_in_one_document(spark):
     assert _leaks(spark, [ITEM + ". " + other]) == [(0, 0)]
 
 
+def test_emptied_vocabulary_gives_the_same_windows(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("Anna", "9", "kg", "walks", "home.")) + str(rng.randrange(300)) for _ in range(200)) for _ in range(40)]
+    usual = D._Vocabulary()
+    wanted = [D.Canonical(t, usual).windows(8)[1].tolist() for t in texts]
+    monkeypatch.setattr(D._Vocabulary, "most", 50)
+    small = D._Vocabulary()
+    assert [D.Canonical(t, small).windows(8)[1].tolist() for t in texts] == wanted
+
+
 def test_decontamination_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     con = connect(sf)
