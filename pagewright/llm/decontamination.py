@@ -5,6 +5,9 @@ or names has the same template. Windows of template tokens are hash-joined with
 benchmark's; a document holds an item if enough of the item's windows match and the slots
 that the placeholders stand for map to each other one to one.
 
+What is a name shows by its capital only, so a copy in capitals, title case or lower case has another template.
+Each window therefore also has a folded form, in which case tells nothing and names are literal.
+
 The pass over the documents drops windows that no benchmark item can have by a
 bitmap of fixed size, so almost nothing reaches the join. A larger benchmark only lets more windows
 through; the join is exact either way.
@@ -31,7 +34,7 @@ UNITS = frozenset(
     "liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year "
     "years c f k degree degrees celsius fahrenheit percent dollar dollars cent cents euro euros mph kmh w kw kwh j kj v a hz khz mhz ghz b kb mb gb tb".split()
 )
-_END, _NUMBER, _UNIT, _CAPITAL, _PLAIN = range(5)
+_END, _NUMBER, _PLAIN, _UNIT, _CAPITAL_UNIT, _CAPITAL = range(6)
 _PLACEHOLDER = {_NUMBER: 0x9E3779B97F4A7C15, _UNIT: 0xC2B2AE3D27D4EB4F, _CAPITAL: 0x165667B19E3779F9}
 _BITS = 26  # of the bitmap: 8 MB, whatever the benchmark's size
 _PRIME = np.uint64(0x100000001B3)
@@ -54,7 +57,9 @@ class _Vocabulary(dict):
     def __missing__(self, token: str) -> int:
         first = token[0]
         lower = token.lower()
-        kind = _END if first in ".!?\n" else _NUMBER if first.isdigit() else _CAPITAL if first.isupper() else _UNIT if lower in UNITS else _PLAIN
+        unit = lower in UNITS
+        capital = (_CAPITAL_UNIT if unit else _CAPITAL) if first.isupper() else _UNIT if unit else _PLAIN
+        kind = _END if first in ".!?\n" else _NUMBER if first.isdigit() else capital
         self[token] = number = self.known + len(self.fresh)
         self.fresh.append((xxhash.xxh3_64_intdigest(lower), kind))
         return number
@@ -75,39 +80,68 @@ class _Vocabulary(dict):
         return self.hashes[numbers], self.kinds[numbers]
 
 
+def _window_hashes(hashes: np.ndarray, starts: np.ndarray | None, length: int) -> np.ndarray:
+    """Hash of the windows at ``starts``, or of all."""
+    n = len(hashes) - length + 1 if starts is None else len(starts)
+    total = np.full(n, length, np.uint64)
+    for k in range(length):
+        total = (total ^ (hashes[k : k + n] if starts is None else hashes[starts + k])) * _PRIME
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def _in_windows(marked: np.ndarray, length: int) -> np.ndarray:
+    """Number of marked tokens in each window."""
+    sums = np.concatenate(([0], np.cumsum(marked)))
+    return sums[length:] - sums[:-length]
+
+
 class Canonical:
-    """A text's template: token hashes with placeholders, which tokens are slots, and the raw tokens."""
+    """A text's template: token hashes with placeholders, which tokens are slots, and the raw tokens.
 
-    __slots__ = ("hashes", "slot", "tokens", "keep")
+    ``folded`` and ``fixed`` are the same for the folded form, where only numbers and units are slots.
+    """
+
+    __slots__ = ("hashes", "slot", "name", "folded", "fixed", "tokens", "keep")
 
     def __init__(self, text: str | None, vocabulary: _Vocabulary):
         tokens = _TOKEN.findall(text) if text else []
         hashes, kinds = vocabulary.lookup(tokens)
         before = np.concatenate(([_END], kinds[:-1])) if len(kinds) else kinds
-        name = (kinds == _CAPITAL) & (before != _END)  # the first word of a sentence is no name by its capital
-        unit = (kinds == _UNIT) & (before == _NUMBER)
+        name = (kinds >= _CAPITAL_UNIT) & (before != _END)  # the first word of a sentence is no name by its capital
+        measured = before == _NUMBER
+        unit = (kinds == _UNIT) & measured
         number = kinds == _NUMBER
         hashes = hashes.copy()
-        hashes[number], hashes[unit], hashes[name] = (np.uint64(_PLACEHOLDER[k]) for k in (_NUMBER, _UNIT, _CAPITAL))
+        hashes[number], hashes[unit] = (np.uint64(_PLACEHOLDER[k]) for k in (_NUMBER, _UNIT))
         self.keep = np.flatnonzero(kinds != _END)
-        self.hashes, self.slot = hashes[self.keep], (number | unit | name)[self.keep]
+        self.name, self.slot = name[self.keep], (number | unit | name)[self.keep]
+        self.hashes = self.folded = hashes[self.keep]
+        self.fixed = self.slot
+        if self.name.any():
+            self.fixed = (number | unit | ((kinds == _CAPITAL_UNIT) & measured))[self.keep]
+            self.folded = self.hashes.copy()
+            self.folded[self.name & self.fixed] = np.uint64(_PLACEHOLDER[_UNIT])
+            self.hashes[self.name] = np.uint64(_PLACEHOLDER[_CAPITAL])
         self.tokens = tokens
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each window in which at least half of the tokens are literal."""
-        n = len(self.hashes) - length + 1
-        if n <= 0:
+        if len(self.hashes) < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n, length, np.uint64)
-        for k in range(length):
-            total = (total ^ self.hashes[k : k + n]) * _PRIME
-            total ^= total >> np.uint64(29)
-        slots = np.concatenate(([0], np.cumsum(self.slot)))
-        starts = np.flatnonzero(2 * (slots[length:] - slots[:-length]) <= length)
-        return starts, total[starts]
+        starts = np.flatnonzero(2 * _in_windows(self.slot, length) <= length)
+        return starts, _window_hashes(self.hashes, None, length)[starts]
 
-    def slots(self, start: int, length: int) -> list[str]:
-        return [self.tokens[self.keep[k]].lower() for k in range(start, start + length) if self.slot[k]]
+    def folded_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same in the folded form, but only windows that hold a name: all others are the same in both."""
+        if self.folded is self.hashes or len(self.hashes) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        starts = np.flatnonzero((_in_windows(self.name, length) > 0) & (2 * _in_windows(self.fixed, length) <= length))
+        return starts, _window_hashes(self.folded, starts, length)
+
+    def slots(self, start: int, length: int, folded: bool = False) -> list[str]:
+        slot = self.fixed if folded else self.slot
+        return [self.tokens[self.keep[k]].lower() for k in range(start, start + length) if slot[k]]
 
 
 def _window_length(item: Canonical, window: int, least: int) -> int:
@@ -116,17 +150,18 @@ def _window_length(item: Canonical, window: int, least: int) -> int:
     return window if n >= window else n if n >= least else 0
 
 
+_TEMPLATE, _FOLDED = 1, 2  # bits: a window without names is of both forms
 _WINDOW_KIND = "hash long, start long, length int, slots array<string>"
 
 
 def _window_rows(rows: list[tuple], first: pa.DataType, name: str) -> pa.RecordBatch:
-    kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64())
-    names = ["row", name, "hash", "start", "length", "slots", "of"]
+    kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int32())
+    names = ["row", name, "hash", "start", "length", "slots", "of", "of_folded", "form"]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataFrame:
-    """item_id, hash, start, length, slots, and the number ``of`` windows of each item."""
+    """item_id, hash, start, length, slots, form, and the numbers ``of`` and ``of_folded`` windows of each item in either form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary()
@@ -136,12 +171,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = 8, least: int = 5) ->
                 canonical = Canonical(text, vocabulary)
                 if length := _window_length(canonical, window, least):
                     starts, hashes = canonical.windows(length)
-                    signed = hashes.view(np.int64).tolist()
-                    out += [(0, item, h, s, length, canonical.slots(s, length), len(starts)) for s, h in zip(starts.tolist(), signed)]
+                    again, folded = canonical.folded_windows(length)
+                    named = _in_windows(canonical.name, length) > 0
+                    of = len(starts), len(again) + int((~named[starts]).sum())
+                    for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
+                        out.append((0, item, h, s, length, canonical.slots(s, length), *of, _TEMPLATE if named[s] else _TEMPLATE | _FOLDED))
+                    for s, h in zip(again.tolist(), folded.view(np.int64).tolist()):
+                        out.append((0, item, h, s, length, canonical.slots(s, length, True), *of, _FOLDED))
             yield _window_rows(out, pa.int64(), "item_id")
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL")
-    return rows.mapInArrow(run, f"row long, item_id long, {_WINDOW_KIND}, of long").drop("row")
+    return rows.mapInArrow(run, f"row long, item_id long, {_WINDOW_KIND}, of long, of_folded long, form int").drop("row")
 
 
 def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int]) -> DataFrame:
@@ -160,17 +200,20 @@ def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 canonical = Canonical(text.as_py(), vocabulary)
                 for length in fixed:
-                    starts, hashes = canonical.windows(length)
-                    low = hashes & np.uint64((1 << _BITS) - 1)
-                    hit = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                    out += [(row, doc_id, h, s, length, canonical.slots(s, length), 0) for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist())]
+                    for folded, (starts, hashes) in enumerate((canonical.windows(length), canonical.folded_windows(length))):
+                        if not len(starts):
+                            continue
+                        low = hashes & np.uint64((1 << _BITS) - 1)
+                        hit = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                        for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
+                            out.append((row, doc_id, h, s, length, canonical.slots(s, length, bool(folded)), 0, 0, 0))
                 row += 1
             yield _window_rows(out, id_type, "doc_id")
 
     rows = documents.select("doc_id", "text")
     id_kind = dict(rows.dtypes)["doc_id"]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
-    return rows.mapInArrow(run, f"row long, doc_id {id_kind}, {_WINDOW_KIND}, of long").drop("of")
+    return rows.mapInArrow(run, f"row long, doc_id {id_kind}, {_WINDOW_KIND}, of long, of_folded long, form int").drop("of", "of_folded", "form")
 
 
 def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
@@ -180,27 +223,34 @@ def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
     return all(forth.setdefault(a, b) == b and back.setdefault(b, a) == a for item, document in pairs for a, b in zip(item, document))
 
 
-def _judge(found: list[dict], of: int) -> tuple[float, int]:
+def _judge(found: list[dict], of: int, of_folded: int) -> tuple[float, int]:
     """The best consistent alignment of a document with an item: covered share and number of windows.
 
     Windows are tried together first; if their slots contradict each other (several
-    variants of a question in one document), each alignment is judged by itself.
+    variants of a question in one document), each alignment is judged by itself. This is done for the
+    templates, for the folded form, and for both together, as parts of a copy may be renamed and others in capitals.
     """
-    groups = [found]
-    if not consistent([(w["item_slots"], w["doc_slots"]) for w in found]):
-        by_shift = defaultdict(list)
-        for w in found:
-            by_shift[w["start"] - w["item_start"]].append(w)
-        groups = [g for g in by_shift.values() if consistent([(w["item_slots"], w["doc_slots"]) for w in g])]
-    matched = max((len({w["item_start"] for w in g}) for g in groups), default=0)
-    return matched / of, matched
+    best = (0.0, 0)
+    every = max(of, of_folded)
+    for forms, total in ((_TEMPLATE, of), (_FOLDED, of_folded), (_TEMPLATE | _FOLDED, every)):
+        some = [w for w in found if w["form"] & forms]
+        groups = [some]
+        if not consistent([(w["item_slots"], w["doc_slots"]) for w in some]):
+            by_shift = defaultdict(list)
+            for w in some:
+                by_shift[w["start"] - w["item_start"]].append(w)
+            groups = [g for g in by_shift.values() if consistent([(w["item_slots"], w["doc_slots"]) for w in g])]
+        matched = max((len({w["item_start"] for w in g}) for g in groups), default=0)
+        best = max(best, (min(1.0, matched / total) if total else 0.0, matched))
+    return best
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, coverage, n_windows, one row per pair.
 
     ``coverage`` is the least share of an item's windows that a document must have. Items of fewer than
-    ``window`` tokens are one window; those of fewer than five are too short to tell and not searched.
+    ``window`` tokens are one window; those of fewer than five are too short to tell and not searched. Case does not
+    matter: the share is the best of the templates, of the folded form, and of both together.
 
     Edge cases: null or empty texts hold nothing, null item ids are left out, a null
     doc_id is reported as null; repeated rows are searched one by one, and their best result counts; other columns
@@ -218,18 +268,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cove
     if not lengths:
         return spark.createDataFrame([], schema)
     found = stored(candidate_windows(documents, bitmap.tobytes(), sorted(lengths)), "candidate-windows")
-    side = items.select("hash", "length", "item_id", "of", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
+    side = items.select("hash", "length", "item_id", "of", "of_folded", "form", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
     joined = found.join(small_side(side, 400), ["hash", "length"]).select(
-        "row", "doc_id", "item_id", "of", F.struct("start", "item_start", F.col("slots").alias("doc_slots"), "item_slots").alias("w")
+        "row", "doc_id", "item_id", "of", "of_folded", F.struct("start", "item_start", "form", F.col("slots").alias("doc_slots"), "item_slots").alias("w")
     )
-    grouped = joined.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("of").alias("of"), F.collect_list("w").alias("found"))
-    likely = grouped.filter(F.size(F.array_distinct(F.transform("found", lambda w: w["item_start"]))) >= coverage * F.col("of"))
+    grouped = joined.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("of").alias("of"), F.first("of_folded").alias("of_folded"), F.collect_list("w").alias("found"))
+    least = F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in ("of", "of_folded")))
+    likely = grouped.filter(F.size(F.array_distinct(F.transform("found", lambda w: w["item_start"]))) >= coverage * least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                share, matched = _judge(r["found"], r["of"])
+                share, matched = _judge(r["found"], r["of"], r["of_folded"])
                 if share >= coverage:
                     out.append((r["doc_id"], r["item_id"], share, matched))
             id_type = batch.schema.field("doc_id").type
@@ -238,7 +289,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cove
                 ["doc_id", "item_id", "coverage", "n_windows"],
             )
 
-    pairs = likely.select("doc_id", "item_id", "of", "found").mapInArrow(run, schema)
+    pairs = likely.select("doc_id", "item_id", "of", "of_folded", "found").mapInArrow(run, schema)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_windows").alias("n_windows"))
 
 

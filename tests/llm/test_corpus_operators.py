@@ -325,6 +325,27 @@ def test_decontamination_query_against_brute_force(spark):
     assert wanted and found == wanted
 
 
+def test_copies_in_any_case_are_found(spark):
+    names = "Then Anna Berg met Carl Dorn and Emma Falk near Gent Hafen Ilm Jena Kiel after Lena Moor left Nora Oster there"
+    texts = ["so it was, " + t + " and on" for x in (ITEM, names) for t in (x.upper(), x.title(), x.lower())]
+    assert _leaks(spark, texts, (ITEM, names)) == [(i, i // 3) for i in range(6)]
+    renumbered = ITEM.replace("120", "75").replace("9", "4")  # numbers stay slots in the folded form, also before units in capitals
+    assert _leaks(spark, [renumbered.upper(), renumbered.lower(), "A NOTE. " + ITEM.replace("120 kg is", "7 kg is").upper()]) == [(0, 0), (1, 0)]
+
+
+def test_no_whole_item_of_a_larger_table_is_missed(spark):
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    con = connect(sf)
+    flat = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
+    items = [(i, flat(t)) for i, t in con.sql("select item_id, text from benchmark").fetchall()]
+    wanted = {(d, i) for d, t in con.sql("select doc_id, text from documents").fetchall() for flat_t in (flat(t),) for i, x in items if x in flat_t}
+    documents, benchmark = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(documents, benchmark).collect()}
+    assert len(wanted) > 200 and not wanted - found
+
+
 # --- pipeline ---
 
 def test_pipeline_against_brute_force(spark):
