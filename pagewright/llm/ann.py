@@ -105,7 +105,7 @@ class CentroidGraph:
         self.entry = int(np.argmax(centroids @ mean))
 
     def within(self, query: np.ndarray, ratio: float, sizes: np.ndarray, least_rows: int) -> list[int]:
-        """Centroids within ``ratio`` times the nearest one's distance, nearest first, and more until the lists hold ``least_rows``.
+        """Centroids within ``ratio`` times the nearest one's distance, nearest first, and more until their ``sizes`` add up to ``least_rows``.
 
         Best first: a node is expanded as long as it could still lead to one within the ratio.
         """
@@ -197,9 +197,11 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, paramete
     kind = dict(rows.dtypes)["embedding"]
     postings = stored(rows.mapInArrow(assign, f"vec_id long, embedding {kind}, list int, primary boolean"), "postings")
     held = np.zeros(len(centroids), np.int64)
-    own = np.zeros(len(centroids), np.int64)
-    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if("primary").alias("own")).collect():  # one row per centroid
-        held[r["list"]], own[r["list"]] = r["n"], r["own"]
+    own = np.zeros(len(centroids), np.int64)  # vec_ids, each counted in one list: repeated rows are no further neighbours
+    for r in postings.groupBy("list").count().collect():  # one row per centroid
+        held[r["list"]] = r["count"]
+    for r in postings.filter("primary").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        own[r["list"]] = r["count"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = CentroidGraph(shared.value, p.degree)
@@ -239,12 +241,16 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, paramete
             return _found([], [], [])
         x, q = _matrix(postings_of["embedding"]), _matrix(queries_of["embedding"])
         xi, qi = postings_of["vec_id"].to_numpy(), queries_of["vec_id"].to_numpy()
+        order = np.argsort(xi, kind="stable")
+        x, xi = x[order], xi[order]
+        ids, first = np.unique(xi, return_index=True)  # rows of one vec_id lie together
         xu, qu = _scaled(x), _scaled(q)
         out_q, out_x, out_s = [], [], []
         for at in range(0, len(q), 256):
             near = qu[at : at + 256] @ xu.T
             near[qi[at : at + 256, None] == xi[None, :]] = -np.inf
-            last = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+            best = near if len(ids) == len(xi) else np.maximum.reduceat(near, first, axis=1)  # of each vec_id, so that repeats push nothing out
+            last = np.partition(best, max(0, best.shape[1] - k), axis=1)[:, max(0, best.shape[1] - k)]
             r, c = np.nonzero((near >= last[:, None] - 1e-9) & np.isfinite(near))
             out_q.append(r + at)
             out_x.append(c)
@@ -253,11 +259,15 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, paramete
             a, b = q[r[at : at + 65_536]], x[c[at : at + 65_536]]
             out_s.append((a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))))
         s = np.concatenate(out_s) if out_s else np.zeros(0)
-        ids, order = xi[c], np.lexsort((xi[c], -s, qi[r]))
-        r, ids, s = r[order], ids[order], s[order]
-        first = np.searchsorted(qi[r], qi[r], side="left")
-        kept = np.arange(len(r)) - first < k * max(1, _repeats(qi[r], ids))
-        return _found(qi[r][kept], ids[kept], s[kept])
+        asked, ids = qi[r], xi[c]
+        order = np.lexsort((-s, ids, asked))
+        asked, ids, s = asked[order], ids[order], s[order]
+        best = np.append(True, (asked[1:] != asked[:-1]) | (ids[1:] != ids[:-1]))[: len(s)]  # of each pair of ids
+        asked, ids, s = asked[best], ids[best], s[best]
+        order = np.lexsort((ids, -s, asked))
+        asked, ids, s = asked[order], ids[order], s[order]
+        kept = np.arange(len(asked)) - np.searchsorted(asked, asked, side="left") < k
+        return _found(asked[kept], ids[kept], s[kept])
 
     groups = ["list", "block", "query_block"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(compare, "query_id long, vec_id long, score double")
@@ -266,13 +276,5 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, paramete
     return once.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
-def _repeats(queries: np.ndarray, ids: np.ndarray) -> int:
-    """How often a pair of ids occurs at most: repeated rows must not push others out."""
-    if not len(ids):
-        return 1
-    pairs = np.stack((queries, ids))
-    return int(np.unique(pairs, axis=1, return_counts=True)[1].max())
-
-
 def _found(queries, ids, scores) -> pa.Table:
     return pa.table({"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})

@@ -133,6 +133,22 @@ def test_neighbours_edge_cases(spark):
     assert ann.nearest_neighbours(frame.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_rows_push_no_neighbour_out(spark):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asked = F.col("vec_id") % 50 == 0
+    one_list = ann.IndexParameters()
+    tiny_lists = ann.IndexParameters(list_rows=4, block_rows=16, prune_ratio=1.0, boundary_ratio=1.0)
+    for copies in (1, 2, 5):
+        frame = spark.createDataFrame(rows * copies, "vec_id long, embedding array<double>")
+        wanted = _brute_neighbours([(i, v) for i, v in enumerate(x)], 5)
+        found = collections.defaultdict(list)
+        for r in ann.nearest_neighbours(frame, asked, 5, one_list).orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append(r["vec_id"])
+        assert found == {q: [v for v, _ in near] for q, near in wanted.items()}
+        assert ann.nearest_neighbours(frame, asked, 5, tiny_lists).count() == 5 * len(wanted)
+
+
 def test_neighbours_with_many_lists_and_blocks(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 16))
