@@ -247,6 +247,36 @@ def heading_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, _TITLES).select("doc_id", T.clean_heading(F.col("line")).alias("clean"))
 
 
+# heading_norm and heading_clean, whose SQL cuts each text, read its beginning; these read every line of the whole text.
+_HEADING_LINES = """
+SELECT doc_id, n, CASE n % 4 WHEN 0 THEN '## **' || line || ':**' WHEN 1 THEN '#  _' || line || '_ ' WHEN 2 THEN '- ' || line || ' * x' ELSE '**a *b** ' || line END AS line
+FROM (SELECT doc_id, CAST(i AS INT) AS n, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
+"""
+
+
+def _heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.col("i") + 1)
+    around = [("## **", ":**"), ("#  _", "_ "), ("- ", " * x"), ("**a *b** ", "")]
+    made = [F.concat(F.lit(a), "line", F.lit(b)) for a, b in around]
+    line = F.when(F.col("n") % 4 == 0, made[0]).when(F.col("n") % 4 == 1, made[1]).when(F.col("n") % 4 == 2, made[2]).otherwise(made[3])
+    return rows.select("doc_id", "n", line.alias("line"))
+
+
+@_query(f"""
+SELECT doc_id, n, trim(lower(trim(regexp_replace(regexp_replace(line, '[#*_`]+', '', 'g'), '\\s+', ' ', 'g'))), '.,:;!?-—–') AS norm FROM ({_HEADING_LINES})
+""")
+def heading_norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heading_lines(spark, sf_dir).select("doc_id", "n", T.norm_heading(F.col("line")).alias("norm"))
+
+
+@_query(f"""
+SELECT doc_id, n, trim(coalesce(nullif(regexp_extract(b, '^(?:\\*{{1,3}}([^*]+)\\*{{1,3}})$', 1), ''), nullif(regexp_extract(b, '^(?:_{{1,3}}([^_]+)_{{1,3}})$', 1), ''), b)) AS clean
+FROM (SELECT doc_id, n, trim(regexp_replace(line, '^[ \\t]*#{{1,6}}[ \\t]+', '')) AS b FROM ({_HEADING_LINES}))
+""")
+def heading_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heading_lines(spark, sf_dir).select("doc_id", "n", T.clean_heading(F.col("line")).alias("clean"))
+
+
 # --- tables, links, comments, diagrams ---------------------------------------------------------
 
 _CELLS = """

@@ -27,3 +27,13 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["heading_norm_lines", "heading_clean_lines"])
+def test_heading_lines_read_whole_texts(spark, con, name):
+    lines = con.sql("select count(*) from (select unnest(string_split(text, chr(10))) from documents)").fetchall()[0][0]
+    frame = registry.queries()[name](spark, SF)
+    assert frame.count() == lines
+    longest = con.sql("select max(length(l)) from (select unnest(string_split(text, chr(10))) as l from documents)").fetchall()[0][0]
+    column = name.split("_")[1]
+    assert max(len(r[0]) for r in frame.select(column).collect()) >= longest - 4  # the ends may lose a mark
