@@ -13,12 +13,12 @@ import sys
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import pages as pages_of
-from pagewright.plans.pipeline import DocumentPipeline, Options
-from pagewright.sources import files, pdf
+from pagewright.plans.pipeline import DocumentPipeline, Options, white_ratios
+from pagewright.sources import files, images, pdf
 from pagewright.sources.config import ConfigError, load_config, parse_page_spec
 from pagewright.sources.recognition import probe
 
@@ -62,6 +62,37 @@ def parse_arguments(arguments: Sequence[str]) -> argparse.Namespace:
         raise Exit(BAD_ARGUMENTS, str(error)) from error
 
 
+def _ratios(spark: SparkSession, folder: Path, name: str) -> DataFrame:
+    """doc_id, page_num, white_ratio of the page images below a document's folder."""
+    read = images.read_images(spark, f"{folder.resolve().as_uri()}/pages/*.jpg")
+    number = F.regexp_extract("origin", r"page_(\d+)\.jpg$", 1).cast("int")
+    return white_ratios(read.withColumn("doc_id", F.lit(name)).withColumn("page_num", number))
+
+
+def _export_diagrams(spark: SparkSession, path: Path, repaired: DataFrame, folder: Path, count: int, scale: float) -> None:
+    """Write the diagrams that the Markdown names: image placements from the PDF, the model's boxes from the page image.
+
+    A diagram that can't be cropped is reported and never fails its page.
+    """
+    rows = repaired.select("doc_id", "page_num", "from_source", F.posexplode("crops").alias("i", "c"))
+    rows = rows.select("doc_id", "page_num", "from_source", (F.col("i") + 1).alias("number"), "c.*").cache()
+    name = lambda r: f"{files.page_name(r['page_num'], count)}_diagram_{r['number']}.jpg"
+    missing = []
+    placed = rows.filter("from_source").drop("from_source")
+    if not placed.isEmpty():
+        for r in pdf.crop_regions(spark, path.resolve().as_uri(), placed, scale).toLocalIterator():
+            if r["content"] is None:
+                missing.append(name(r))
+            else:
+                files.write_bytes(folder / "diagrams" / name(r), bytes(r["content"]))
+    for r in rows.filter("NOT from_source").toLocalIterator():
+        box = tuple(int(r[c]) for c in ("x0", "y0", "x1", "y1"))
+        if not images.crop_file(spark, (folder / "pages" / f"{files.page_name(r['page_num'], count)}.jpg").resolve(), box, (folder / "diagrams" / name(r)).resolve()):
+            missing.append(name(r))
+    for m in missing:
+        print(f"diagram {m} could not be cropped", file=sys.stderr)
+
+
 def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     path: Path = arguments.pdf_path
     if not path.is_file():
@@ -94,6 +125,10 @@ def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
             print(f"page {row[0]} does not exist", file=sys.stderr)
         if chosen.isEmpty():
             raise Exit(BAD_ARGUMENTS, "no page to rerun")
+        try:
+            files.archive_pages(folder, [r[0] for r in chosen.select("page_num").collect()], count)
+        except OSError as error:
+            raise Exit(NOT_WRITTEN, str(error)) from error
         run.rerun(chosen)
     elif known and known[0]["combined_done"]:
         print("already complete")
@@ -104,13 +139,18 @@ def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     documents = facts.select("doc_id").distinct()
     if pages_of.failure_gates(run.state.pages(), documents).first()["all_renders_failed"]:
         raise Exit(NO_RENDER, "no page could be rendered")
-    run.recognise(facts)
+    try:
+        files.export_images(run.images(), folder, count)
+    except OSError as error:
+        raise Exit(NOT_WRITTEN, str(error)) from error
+    run.recognise(facts, _ratios(spark, folder, name))
     if pages_of.failure_gates(run.state.pages(), documents).first()["all_recognition_failed"]:
         raise Exit(NO_RECOGNITION, "no page could be recognised")
     repaired = run.repair(facts).cache()
     markdown = run.combine(facts, repaired).first()
     try:
         files.export_pages(repaired, folder, count)
+        _export_diagrams(spark, path, repaired, folder, count, options.dpi_scale)
         files.write_text(path.with_suffix(".md"), markdown["markdown"] if markdown else "")
         files.export_state(run.state.pages(), folder / "state.json", str(path.resolve()), count, True)
     except OSError as error:

@@ -56,6 +56,10 @@ class DocumentPipeline:
         done = stored.join(pending, ["doc_id", "page_num"], "left_semi").groupBy("doc_id", "page_num").agg(F.max(F.col("content").isNotNull()).alias("image_done"))
         self.state.append(done.withColumn("image_failed", ~F.col("image_done")))
 
+    def images(self) -> DataFrame:
+        """doc_id, page_num, content of the stored page images."""
+        return self.spark.read.parquet(self._path("images")).filter("content IS NOT NULL").dropDuplicates(["doc_id", "page_num"])
+
     def recognise(self, facts: DataFrame, ratios: DataFrame | None = None) -> None:
         """Phase 2: ask the model for all pending pages that are not blank, store raw replies, note the outcome.
 
@@ -65,8 +69,7 @@ class DocumentPipeline:
         flags = facts.select("doc_id", "page_num", "has_text", "has_drawings")
         flags = flags.join(ratios, ["doc_id", "page_num"], "left") if ratios is not None else flags.withColumn("white_ratio", F.lit(0.0))
         rows = pending.join(flags, ["doc_id", "page_num"], "left").withColumn("is_blank", facts_of.blank_pages(flags))
-        images = self.spark.read.parquet(self._path("images")).filter("content IS NOT NULL").dropDuplicates(["doc_id", "page_num"])
-        asked = rows.filter("NOT is_blank").join(images, ["doc_id", "page_num"])
+        asked = rows.filter("NOT is_blank").join(self.images(), ["doc_id", "page_num"])
         replies = recognise(asked, self.config.instances, self.config.timeout, self.transport)
         blank = rows.filter("is_blank").select("doc_id", "page_num", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("is_blank"))
         replies.select("doc_id", "page_num", "raw", "error", F.lit(False).alias("is_blank")).unionByName(blank).write.mode("append").parquet(self._path("replies"))

@@ -544,14 +544,22 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_replies(rows).select("doc_id", "page_num", "text", F.size("boxes").alias("n_boxes"), "error")
 
 
+def _boxes_of(places: DataFrame) -> DataFrame:
+    """doc_id and the model's boxes, in order, of the places ``_BOXES``."""
+    box = F.struct(*(F.col(a).cast("double").alias(b) for a, b in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))))
+    grouped = places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", box.alias("box")))).alias("all"))
+    return grouped.select("doc_id", F.transform("all", lambda b: b["box"]).alias("boxes"))
+
+
 @_query()
 def repaired_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page assembly with all facts: the flagship query."""
     texts = _view(spark, sf_dir, _LINES)
-    replies = texts.select(
-        "doc_id", "page_num", F.lit(1).alias("page_count"), "text", F.array().cast("array<struct<x:double,y:double,width:double,height:double>>").alias("boxes"), (F.col("doc_id") % 50 == 7).alias("is_blank")
-    )
-    rects = texts.limit(0).select("doc_id", "page_num", F.lit(0).alias("rect_no"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    places = _view(spark, sf_dir, _BOXES)
+    replies = texts.join(_boxes_of(places), "doc_id", "left").select("doc_id", "page_num", F.lit(1).alias("page_count"), "text", "boxes", (F.col("doc_id") % 50 == 7).alias("is_blank"))
+    sides = (("x", "x0"), ("y", "y0"), (F.col("x") + F.coalesce("w", F.lit(0)), "x1"), (F.col("y") + F.col("h"), "y1"))
+    placed = places.filter("doc_id % 3 = 1 AND n <= 2").select("doc_id", F.lit(1).alias("page_num"), F.col("n").alias("rect_no"), *((F.col(c) if isinstance(c, str) else c).cast("double").alias(a) for c, a in sides))
+    rects = placed.join(texts.select("doc_id"), "doc_id", "left_semi")
     cells = _view(spark, sf_dir, _CELLS)
     tables = cells.select("doc_id", F.lit(1).alias("page_num"), F.col("n").alias("table_no"), F.lit(0.0).alias("x0"), F.col("n").cast("double").alias("y0"), F.array(F.array("a", "b")).alias("rows"))
     links = texts.select(

@@ -17,9 +17,13 @@ from pagewright.sources.state import DocumentState, PageState
 
 
 def write_text(path: Path, text: str) -> None:
+    write_bytes(path, text.encode("utf-8"))
+
+
+def write_bytes(path: Path, content: bytes) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     partial = path.with_name(path.name + ".partial")
-    partial.write_text(text, encoding="utf-8")
+    partial.write_bytes(content)
     partial.replace(path)
 
 
@@ -36,6 +40,12 @@ def export_pages(pages: DataFrame, folder: Path, page_count: int) -> int:
     return written
 
 
+def export_images(images: DataFrame, folder: Path, page_count: int) -> None:
+    """Write one document's page images (page_num, content), one in memory at a time."""
+    for row in images.select("page_num", "content").toLocalIterator():
+        write_bytes(folder / "pages" / f"{page_name(row['page_num'], page_count)}.jpg", bytes(row["content"]))
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(page_num, markdown) of the page files below a document's folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "page_*.md").load(f"{folder}/pages")

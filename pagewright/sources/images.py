@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,19 @@ def white_ratio(data: Column, width: Column, height: Column, channels: Column) -
     return _white(data, width, height, channels)
 
 
+def crop_file(spark: SparkSession, source: Path, box: tuple[int, int, int, int], target: Path) -> bool:
+    """Write a box (x0, y0, x1, y1) of a JPEG file, clamped to the image, as a JPEG file; False if it is empty or the image is broken."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(source)))
+    if image is None:
+        return False
+    x0, y0, x1, y1 = max(0, box[0]), max(0, box[1]), min(image.getWidth(), box[2]), min(image.getHeight(), box[3])
+    if x1 <= x0 or y1 <= y0:
+        return False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    return jvm.javax.imageio.ImageIO.write(image.getSubimage(x0, y0, x1 - x0, y1 - y0), "jpg", jvm.java.io.File(str(target)))
+
+
 def crop(data: bytes, width: int, height: int, channels: int, box: tuple[int, int, int, int]) -> bytes:
     """The pixels of a clamped box (x0, y0, x1, y1); empty if the box is."""
     x0, y0, x1, y1 = box

@@ -23,6 +23,13 @@ def test_query(spark, con, name):
         assert frame.count() > 0
 
 
+def test_repaired_pages_has_diagrams_of_both_kinds(spark, con):
+    shown = {r["doc_id"]: r["markdown"].count("](diagrams/page_1_diagram_") for r in registry.repaired_pages(spark, SF).collect()}
+    n = dict(con.sql(f"select doc_id, case when doc_id % 3 = 1 and min(n) <= 2 then count(*) filter (n <= 2) else count(*) end from ({registry._BOXES}) group by doc_id").fetchall())
+    assert all(count == (0 if d % 50 == 7 else n.get(d, 0)) for d, count in shown.items())
+    assert any(count for d, count in shown.items() if d % 3 == 1) and any(count for d, count in shown.items() if d % 3 != 1)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())

@@ -152,6 +152,56 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
+def _jpeg(spark, path, ink=None):
+    """A white image of 100 x 80 pixels, with a black box of ink (x, y, width, height)."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(100, 80, 1)
+    for colour, (x, y, w, h) in ((0xFFFFFF, (0, 0, 100, 80)), *(((0, ink),) if ink else ())):
+        for i in range(x, x + w):
+            for j in range(y, y + h):
+                image.setRGB(i, j, colour)
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+    return path.read_bytes()
+
+
+def test_run_writes_blank_markers_diagrams_and_archives(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    folder = tmp_path / "book"
+    (tmp_path / "book.pdf").write_bytes(b"%PDF")
+    (tmp_path / "made").mkdir()
+    white, inked = _jpeg(spark, tmp_path / "made/w.jpg"), _jpeg(spark, tmp_path / "made/i.jpg", (10, 10, 30, 20))
+    name = (tmp_path / "book.pdf").as_uri()
+    page = lambda n, text, rects: (name, 3, n, text, False, None, [], [], [], [], rects)
+    facts = spark.createDataFrame([page(1, False, []), page(2, True, []), page(3, True, [(0, 1.0, 2.0, 3.0, 4.0)])], pdf.FACTS)
+
+    def transport(instance, image, timeout):
+        if image == white:
+            raise AssertionError("a blank page reached the model")
+        return json.dumps({"text": "words", "diagrams": [{"x": -5, "y": 10, "width": 40, "height": 20}, {"x": 500, "y": 0, "width": 9, "height": 9}]})
+
+    def render(spark, path, pages, scale):
+        made = spark.createDataFrame([(name, n, white if n == 1 else inked, None) for n in (1, 2, 3)], "doc_id string, page_num int, content binary, error string")
+        return made.join(pages, ["doc_id", "page_num"], "left_semi")
+
+    monkeypatch.setattr(cli, "probe", list)
+    monkeypatch.setattr(cli, "DocumentPipeline", partial(DocumentPipeline, transport=transport))
+    monkeypatch.setattr(pdf, "read_facts", lambda *_: facts)
+    monkeypatch.setattr(pdf, "render", render)
+    monkeypatch.setattr(pdf, "crop_regions", lambda spark, path, boxes, scale: boxes.select("doc_id", "page_num", "number", F.encode(F.concat_ws(",", "x0", "y1"), "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
+    assert cli.run([str(tmp_path / "book.pdf")], spark) == 0
+    assert (folder / "pages/page_1.md").read_text() == "<!-- blank page -->"
+    assert sorted(p.name for p in (folder / "diagrams").iterdir()) == ["page_2_diagram_1.jpg", "page_3_diagram_1.jpg"]
+    assert (folder / "diagrams/page_3_diagram_1.jpg").read_bytes() == b"1.0,4.0"
+    size = spark.read.format("image").load((folder / "diagrams/page_2_diagram_1.jpg").as_uri()).select("image.width", "image.height").first()
+    assert tuple(size) == (33, 19)  # 40 x 20, trimmed to 95 %, from -5 clamped to 0
+    assert "diagrams/page_2_diagram_1.jpg" in (tmp_path / "book.md").read_text()
+    assert cli.run([str(tmp_path / "book.pdf"), "--rerun-pages", "2"], spark) == 0
+    archived = {str(p.relative_to(folder / "_archive")).split("/", 1)[1] for p in (folder / "_archive").rglob("*.*") if p.suffix in (".md", ".jpg")}
+    assert archived == {"book.md", "pages/page_2.md", "pages/page_2.jpg", "diagrams/page_2_diagram_1.jpg"}
+    assert (folder / "diagrams/page_2_diagram_1.jpg").is_file() and (tmp_path / "book.md").is_file()
+
+
 def test_stream(spark, tmp_path):
     from pagewright.streaming import read_page_stream, write_page_stream
 
