@@ -102,7 +102,7 @@ class Canonical:
     ``folded`` and ``fixed`` are the same for the folded form, where only numbers and units are slots.
     """
 
-    __slots__ = ("hashes", "slot", "name", "folded", "fixed", "tokens", "keep")
+    __slots__ = ("hashes", "slot", "name", "folded", "fixed", "tokens", "keep", "words")
 
     def __init__(self, text: str | None, vocabulary: _Vocabulary):
         tokens = _TOKEN.findall(text) if text else []
@@ -112,6 +112,7 @@ class Canonical:
         measured = before == _NUMBER
         unit = (kinds == _UNIT) & measured
         number = kinds == _NUMBER
+        self.words = hashes
         hashes = hashes.copy()
         hashes[number], hashes[unit] = (np.uint64(_PLACEHOLDER[k]) for k in (_NUMBER, _UNIT))
         self.keep = np.flatnonzero(kinds != _END)
@@ -139,6 +140,13 @@ class Canonical:
         starts = np.flatnonzero((_in_windows(self.name, length) > 0) & (2 * _in_windows(self.fixed, length) <= length))
         return starts, _window_hashes(self.folded, starts, length)
 
+    def literal_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each window that has no folded form, of its very words and numbers."""
+        if len(self.hashes) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        starts = np.flatnonzero(2 * _in_windows(self.fixed, length) > length)
+        return starts, _window_hashes(self.words[self.keep], starts, length)
+
     def slots(self, start: int, length: int, folded: bool = False) -> list[str]:
         slot = self.fixed if folded else self.slot
         return [self.tokens[self.keep[k]].lower() for k in range(start, start + length) if slot[k]]
@@ -150,7 +158,7 @@ def _window_length(item: Canonical, window: int, least: int) -> int:
     return window if n >= window else n if n >= least else 0
 
 
-_TEMPLATE, _FOLDED = 1, 2  # bits: a window without names is of both forms
+_TEMPLATE, _FOLDED, _LITERAL = 1, 2, 4  # bits: a window without names is of two forms; a literal one stands in for a folded one
 _WINDOW_KIND = "hash long, start long, length int, slots array<string>"
 
 
@@ -178,14 +186,17 @@ def benchmark_windows(benchmark: DataFrame, window: int = 8, least: int = 5) ->
                         out.append((0, item, h, s, length, canonical.slots(s, length), *of, _TEMPLATE if named[s] else _TEMPLATE | _FOLDED))
                     for s, h in zip(again.tolist(), folded.view(np.int64).tolist()):
                         out.append((0, item, h, s, length, canonical.slots(s, length, True), *of, _FOLDED))
+                    if not of[1]:  # mostly numbers and units throughout, so no template tells it
+                        starts, hashes = canonical.literal_windows(length)
+                        out += [(0, item, h, s, length, [], 0, len(starts), _FOLDED | _LITERAL) for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist())]
             yield _window_rows(out, pa.int64(), "item_id")
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL")
     return rows.mapInArrow(run, f"row long, item_id long, {_WINDOW_KIND}, of long, of_folded long, form int").drop("row")
 
 
-def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int]) -> DataFrame:
-    """row, doc_id, hash, start, length and slots of those windows that the bitmap lets through."""
+def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int], literal: bool = False) -> DataFrame:
+    """row, doc_id, hash, start, length and slots of those windows that the bitmap lets through, ``literal`` ones only if asked for."""
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
     fixed = tuple(lengths)
 
@@ -200,13 +211,14 @@ def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 canonical = Canonical(text.as_py(), vocabulary)
                 for length in fixed:
-                    for folded, (starts, hashes) in enumerate((canonical.windows(length), canonical.folded_windows(length))):
+                    forms = [canonical.windows(length), canonical.folded_windows(length), *([canonical.literal_windows(length)] if literal else [])]
+                    for form, (starts, hashes) in enumerate(forms):
                         if not len(starts):
                             continue
                         low = hashes & np.uint64((1 << _BITS) - 1)
                         hit = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                         for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                            out.append((row, doc_id, h, s, length, canonical.slots(s, length, bool(folded)), 0, 0, 0))
+                            out.append((row, doc_id, h, s, length, canonical.slots(s, length, form > 0) if form < 2 else [], 0, 0, 0))
                 row += 1
             yield _window_rows(out, id_type, "doc_id")
 
@@ -249,7 +261,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cove
     """Documents that hold a benchmark item: doc_id, item_id, coverage, n_windows, one row per pair.
 
     ``coverage`` is the least share of an item's windows that a document must have. Items of fewer than
-    ``window`` tokens are one window; those of fewer than five are too short to tell and not searched. Case does not
+    ``window`` tokens are one window; those of fewer than five are too short to tell and not searched. An
+    item of which numbers and units fill more than half of every window is found only with the same ones. Case does not
     matter: the share is the best of the templates, of the folded form, and of both together.
 
     Edge cases: null or empty texts hold nothing, null item ids are left out, a null
@@ -259,15 +272,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cove
     spark = documents.sparkSession
     items = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
-    lengths = set()
-    for r in items.select(F.col("hash").bitwiseAND((1 << _BITS) - 1).alias("low"), "length").distinct().toLocalIterator():
+    lengths, literal = set(), False
+    for r in items.select(F.col("hash").bitwiseAND((1 << _BITS) - 1).alias("low"), "length", (F.col("form") >= _LITERAL).alias("literal")).distinct().toLocalIterator():
         bitmap[r["low"] >> 3] |= 1 << (r["low"] & 7)
         lengths.add(r["length"])
+        literal |= r["literal"]
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, coverage double, n_windows long"
     if not lengths:
         return spark.createDataFrame([], schema)
-    found = stored(candidate_windows(documents, bitmap.tobytes(), sorted(lengths)), "candidate-windows")
+    found = stored(candidate_windows(documents, bitmap.tobytes(), sorted(lengths), literal), "candidate-windows")
     side = items.select("hash", "length", "item_id", "of", "of_folded", "form", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
     joined = found.join(small_side(side, 400), ["hash", "length"]).select(
         "row", "doc_id", "item_id", "of", "of_folded", F.struct("start", "item_start", "form", F.col("slots").alias("doc_slots"), "item_slots").alias("w")

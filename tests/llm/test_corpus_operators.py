@@ -349,6 +349,12 @@ def test_copies_in_any_case_are_found(spark):
     assert _leaks(spark, [renumbered.upper(), renumbered.lower(), "A NOTE. " + ITEM.replace("120 kg is", "7 kg is").upper()]) == [(0, 0), (1, 0)]
 
 
+def test_items_of_numbers_are_found_verbatim(spark):
+    sums = "12 and 7 19 25 plus 31 56 40 kg 16 kg 90 less 3 is 87 5 km 8 km 13"
+    other = sums.replace("12", "13").replace("25", "26").replace("40", "41").replace("87", "88").replace("56", "57")
+    assert _leaks(spark, ["So: " + sums + " as was said", other, "1 2 3 4 5 6 7 8 9 10 " * 50, "X. " + sums.upper()], (sums, ITEM)) == [(0, 0), (3, 0)]
+
+
 def test_no_whole_item_of_a_larger_table_is_missed(spark):
     import re
 
