@@ -9,6 +9,7 @@ The automaton is a fixed value of the code's templates, built once per Python wo
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -174,13 +175,13 @@ class SuffixAutomaton:
         return out
 
 
-def chain(matches: list[tuple[int, int, int]], automaton: SuffixAutomaton, slack: int) -> dict[int, tuple[int, int, int]]:
-    """Per template the best chain of matches: (words covered, first word, last word + 1) in the file.
+def chain(matches: list[tuple[int, int, int]], automaton: SuffixAutomaton, slack: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Per template its chains of matches that do not overlap, best first: (words covered, first word, last word + 1) in the file.
 
     A chain follows both file and template order; between two of its matches at most
     ``slack`` words may be skipped on either side. Overlaps count once.
     """
-    best: dict[int, tuple[int, int, int]] = {}
+    best: dict[int, dict[int, tuple[int, int]]] = {}  # template -> start -> (covered, end)
     open_chains: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> (file end, template end, covered, start)
     for end, length, state in matches:
         for number, places in automaton.ends[state].items():
@@ -196,9 +197,22 @@ def chain(matches: list[tuple[int, int, int]], automaton: SuffixAutomaton, slack
                 grown.append(pick)
             open_chains[number] = chains + grown  # those too far back have been left out above
             for _, _, covered, start in grown:
-                if covered > best.get(number, (0, 0, 0))[0]:
-                    best[number] = (covered, start, end + 1)
-    return best
+                starts = best.setdefault(number, {})
+                if covered > starts.get(start, (0, 0))[0]:
+                    starts[start] = (covered, end + 1)
+    return {number: _apart(starts) for number, starts in best.items()}
+
+
+def _apart(starts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Chains, most words first and of equal ones the one that ends first, without those that overlap a better one."""
+    taken: list[tuple[int, int]] = []  # by place
+    out = []
+    for start, (covered, end) in sorted(starts.items(), key=lambda x: (-x[1][0], x[1][1], x[0])):
+        at = bisect(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
+            out.append((covered, start, end))
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -237,12 +251,13 @@ def scan_text(
     score = 1.0 if base else 0.0
     matches = automaton.matches(words, least)
     if matches:
-        for number, (covered, start, end) in chain(matches, automaton, slack).items():
-            share = covered / len(automaton.templates[number])
-            score = max(score, share)
-            if share >= coverage:
-                found.add(labels[number])
-                spans.append((labels[number], start, end, share))
+        for number, chains in chain(matches, automaton, slack).items():
+            for covered, start, end in chains:
+                share = covered / len(automaton.templates[number])
+                score = max(score, share)
+                if share >= coverage:
+                    found.add(labels[number])
+                    spans.append((labels[number], start, end, share))
     return len(words), starts, base, found, score, sorted(spans)
 
 
@@ -259,7 +274,7 @@ def scan_licenses(
     Columns: doc_id; n_words; n_base, first_word and last_word (number, smallest and
     largest start of all phrase places; null without one); base_labels; labels (also those
     templates of which chained matches of at least ``least`` words cover ``coverage``); score (1
-    with a phrase, else the best template's coverage); spans (label, first word, end, coverage).
+    with a phrase, else the best template's coverage); spans (label, first word, end, coverage), one for each copy.
 
     Edge cases: a null or empty text has no words, no label and score 0; null ids pass
     through; repeated rows are scanned one by one; other columns are ignored; an empty table

@@ -149,6 +149,14 @@ def test_automaton_matching_statistics():
             assert places == {(t, e) for t, x in enumerate(templates) for e in range(n - 1, len(x)) if x[e + 1 - n : e + 1] == words[end + 1 - n : end + 1]}
 
 
+def test_every_copy_of_a_license_is_a_span(spark):
+    label, text = next((label, texts[0]) for label, texts in L.TEMPLATES.items())
+    n = len(L.words_of(text))
+    frame = spark.createDataFrame([(1, f"{text} own code here {text} and other code then {text}")], "doc_id long, text string")
+    spans = [tuple(s) for s in L.scan_licenses(frame).first()["spans"] if s["label"] == label]
+    assert [s[1:] for s in spans] == [(0, n, 1.0), (n + 3, 2 * n + 3, 1.0), (2 * n + 7, 3 * n + 7, 1.0)]
+
+
 def test_cut_and_edited_licenses_are_found(spark):
     mit = L.TEMPLATES["mit"][0]
     words = mit.split()
