@@ -41,7 +41,8 @@ UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search d
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'/=>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")  # every one, so that no value is read as a name
+_TELLING = frozenset("class id role hidden aria-hidden style".split())
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -62,6 +63,8 @@ def _unwanted(tag: str, attributes: str) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name not in _TELLING:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style":

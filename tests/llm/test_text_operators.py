@@ -197,6 +197,13 @@ def test_html_edge_cases(spark):
     assert H.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_values_of_attributes_are_no_attributes():
+    for seen in ('title="the hidden gem"', 'title="Hidden costs"', 'data-state="hidden"', "alt='x class=\"ad\" y'", "hidden-x", 'data-id="ad" hiddenly', "href=/a/hidden/b"):
+        assert not H._unwanted("p", " " + seen)
+    for unwanted in ("hidden", 'title="a b" hidden', "HIDDEN=''", 'data-x=1 class="ad"', 'title="x"class="ad"', "id=ad", 'style = "display: none"', 'aria-hidden="true"', "role='menu'", 'href="a"/hidden'):
+        assert H._unwanted("p", " " + unwanted)
+
+
 def test_html_on_pages(spark):
     rows = connect(SF).sql("select page_id, html from pages").fetchall()
     import html
