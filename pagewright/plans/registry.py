@@ -538,8 +538,10 @@ def fixed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.to_json(F.struct(F.concat(F.lit("> "), F.col("text")).alias("text"), F.array().cast("array<int>").alias("diagrams")))
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, body).otherwise("{\"text\": \"x\"}")
+    quoted = F.concat(F.lit("> "), F.col("text")).alias("text")
+    box = lambda i: F.struct((i * 10).alias("x"), (F.col("n_chars") % 700).alias("y"), F.col("n_chars").alias("width"), i.alias("height"))
+    body = F.to_json(F.struct(quoted, F.transform(F.sequence(F.lit(1), F.col("doc_id") % 4 + 1), box).alias("diagrams")))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, body).otherwise(F.to_json(F.struct(quoted)))  # malformed: no diagrams
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_num"), raw.alias("raw"))
     return parse_replies(rows).select("doc_id", "page_num", "text", F.size("boxes").alias("n_boxes"), "error")
 

@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the entry points."""
 
+import json
+
 import pytest
 
 import __spark_entry__
@@ -30,6 +32,18 @@ def test_repaired_pages_has_diagrams_of_both_kinds(spark, con):
     assert any(count for d, count in shown.items() if d % 3 == 1) and any(count for d, count in shown.items() if d % 3 != 1)
 
 
+def test_parsed_replies_read_each_text_and_box(spark, con, monkeypatch):
+    seen = {}
+    parse = registry.parse_replies
+    monkeypatch.setattr(registry, "parse_replies", lambda rows: (seen.update((r["doc_id"], r["raw"]) for r in rows.collect()), parse(rows))[1])
+    texts = dict(con.sql("select doc_id, text from documents").fetchall())
+    for r in registry.parsed_replies(spark, SF).collect():
+        d = r["doc_id"]
+        held = json.loads(seen[d].removeprefix("```json\n").removesuffix("\n```"))
+        assert held["text"] == "> " + texts[d]
+        assert (r["error"] is None and r["n_boxes"] == d % 4 + 1) if d % 3 < 2 else "diagrams" in r["error"]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
