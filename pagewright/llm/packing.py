@@ -19,7 +19,7 @@ import base64
 import zlib
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,29 +30,38 @@ from pagewright.llm.common import text_batches
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """The byte-level BPE of a vocabulary file.
+def _encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them.
 
     A ``.json`` file for ``tokenizers`` has the same vocabulary as the ``.tiktoken`` file
-    beside it. The latter's encoder gives the same ids about five times faster and is used where it is there;
-    strings of special tokens in a text are ordinary text for either.
+    beside it. The latter's encoder gives the same ids of ordinary text about five times faster and is used where it is
+    there. A text that holds the string of an added token is encoded by ``tokenizers`` itself, which makes that string one id.
     """
     import os
 
+    @lru_cache(maxsize=1)
+    def defining():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def by_definition(text: str) -> list[int]:
+        return defining().encode(text, add_special_tokens=False).ids
+
     ranks_path = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks_path):
-        import public_tokenizers
-        import tiktoken
+    if not os.path.exists(ranks_path):
+        return by_definition
+    import json
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return encoding.encode_ordinary
-    from tokenizers import Tokenizer
+    import public_tokenizers
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file)["added_tokens"]]
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ordinary = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: by_definition(text) if any(a in text for a in added) else ordinary(text)
 
 
 class Piece:
@@ -204,7 +213,8 @@ def pack_documents(
 
     Edge cases: a null or empty text is the closing id alone; null ids pass through; repeated
     rows are packed one by one; other columns are ignored; an empty table gives no row. A long
-    text is cut into windows as a whole, never at a prefix.
+    text is cut into windows as a whole, never at a prefix. doc_id may be of any type. The last group of each
+    sequence length in a task holds fewer tokens than ``step_tokens``.
     """
     fixed_tiers = tuple(tiers)
 
@@ -241,17 +251,17 @@ def pack_documents(
                 names[count] = [doc_id, len(tokens), len(tokens)]
                 close(packer.add(count, tokens.tobytes()))
                 count += 1
+            id_type = batch.schema.field(0).type
             yield _rows(out, id_type)
             out.clear()
         close(packer.finish())
-        yield _rows(out, id_type)
+        if out:
+            yield _rows(out, id_type)
 
     rows = documents.select("doc_id", "text")
-    id_kind = dict(rows.dtypes)["doc_id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
     return rows.mapInArrow(
         run,
-        f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long",
+        f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long",
     )
 
 

@@ -33,7 +33,6 @@ def _tokens(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -83,6 +82,25 @@ def test_packing_edge_cases(spark):
     assert packing.pack_documents(none, public_tokenizers.path("byte_bpe_50k.json")).first()["doc_id"] is None
 
 
+def test_ids_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|", " ", "\n", "word", " more", "É", "'s", "12", "  ", "\u3000", "<|"]
+    texts = ["some text <|endoftext|> more", "<|endoftext|>" * 3, *("".join(rng.choices(parts, k=12)) for _ in range(500))]
+    assert len(encode(texts[0])) == 5
+    assert all(encode(t) == plain.encode(t, add_special_tokens=False).ids for t in texts)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,0)", "date", "string"])
+def test_packing_keeps_any_type_of_id(spark, kind):
+    value = {"date": "DATE'2020-01-01'"}.get(kind, "7")
+    rows = packing.pack_documents(spark.sql(f"SELECT CAST({value} AS {kind}) AS doc_id, 'a b' AS text"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert dict(rows.dtypes)["doc_id"] == kind and rows.first()["doc_id"] is not None
+
+
 def test_gaps_are_filled_from_shorter_tiers():
     packer = packing.Packer((128, 256, 512, 1024), pool=4)
     rng = random.Random(3)
