@@ -187,6 +187,27 @@ def test_main_text(page):
     assert H.main_text(page) == WANTED
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "content no-sidebar", "post share-enabled", "layout header-fixed", "widget-area main-content", "comments-open", "x-menu-wrap", "pageWithAds", "sidebar", "ad-slot"])
+@pytest.mark.parametrize("around", ["<article>%s</article>", "%s", "<div role=main>%s</div>", "<div><div>%s</div></div>"])
+def test_names_of_wrappers_drop_no_article(name, around):
+    page = f"<body><nav><a href=a>Menu, one</a></nav><div class='{name}'>{around % ARTICLE}</div><footer>Foot, foot, foot and more of it</footer></body>"
+    assert H.main_text(page) == WANTED
+
+
+def test_names_inside_the_article():
+    title, rest = ARTICLE.split("</h1>")
+    for name in ("entry-header", "post-header", "header"):
+        assert H.main_text(f"<article><div class='{name}'>{title}</h1></div>{rest}</article>") == WANTED
+    said = "<p>I say, as a reader, that this is long enough, and, well, too long.</p>"
+    for name in ("comments", "comment-list", "post-comments", "commentList", "ad-slot", "related-posts", "cookie_notice", "social share-buttons", "newsletter-signup", "widget_text"):
+        assert H.main_text(f"<article>{ARTICLE}<div class='x {name}'>{said * 9}</div></article>") == WANTED
+        assert H.main_text(f"<div>{ARTICLE}</div><div id='{name.split()[-1]}'><div>{said}</div><div>{said}</div></div>") == WANTED
+    assert H.main_text(f"<body><main><article>{ARTICLE}</article></main><section><article class='comment'>{said * 5}</article></section></body>") == WANTED
+    assert H.main_text(f"<form id=aspnet><div><article>{ARTICLE}</article></div></form>") == WANTED
+    assert H.main_text(f"<div class=elementor-widget>{ARTICLE}</div>") == WANTED
+    assert H.main_text("<body class='modal-open' style='visibility:hidden'><div class=sidebar><p>All there is.</p></div></body>") == "All there is."
+
+
 def test_html_edge_cases(spark):
     pages = [None, "", "plain", "<p>", "<" * 1000, "<a>" * 5000 + "x", "<div>" * 5000 + "deep text, deep text, deep text" + "</div>" * 5000, "<nav>only</nav>", "<p>" + "long, " * 50_000]
     frame = spark.createDataFrame([(i, None, p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
