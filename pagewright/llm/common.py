@@ -6,9 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many bytes may be broadcast; a larger one is joined by a shuffle.
@@ -24,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (single-machine tests), a temporary
-    folder is made and removed at exit.
+    Where ``spark.checkpoint.dir`` is unset on a single machine (tests), a temporary
+    folder is made and removed at exit; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="pagewright-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{named}")
@@ -70,10 +72,62 @@ def release(*frames: DataFrame | None) -> None:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_side(frame: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a side for broadcast if its counted rows fit the limit, else leave the choice to shuffles."""
-    rows = frame.count()
-    return F.broadcast(frame) if rows * row_bytes <= limit else frame.hint("shuffle_merge")
+def measured_bytes(frame: DataFrame) -> int:
+    """About how much memory the rows take: 16 bytes a field, and what strings, binaries and nested values hold."""
+    fixed = 16 * len(frame.columns) + 16
+    held = F.lit(0).cast("long")
+    for name, kind in frame.dtypes:
+        if kind in ("string", "binary"):
+            held += F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            held += 4 * F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    return frame.agg(F.coalesce(F.sum(held + fixed), F.lit(0))).first()[0]
+
+
+def small_side(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a side for broadcast if its measured size fits the limit, else leave the join to shuffles."""
+    return F.broadcast(frame) if measured_bytes(frame) <= limit else frame.hint("shuffle_merge")
+
+
+#: A key with more than this share of the rows is hot, so there are at most so many hot keys; a few rows are never hot.
+HOT_KEYS, LEAST_HOT = 1024, 64
+
+
+def hot_keys(counted: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """Keys that hold more than 1 / ``HOT_KEYS`` of ``total`` rows, and into how many parts they are dealt; at most ``HOT_KEYS`` rows.
+
+    ``counted`` has one row per key, with its number of rows in ``rows``.
+    """
+    part = max(LEAST_HOT, total // HOT_KEYS)
+    return counted.filter(F.col("rows") > part).select(*keys, F.ceil(F.col("rows") / part).cast("int").alias("parts"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataFrame, total: int) -> DataFrame:
+    """An inner join in which no task gets all rows of a hot key of the left side.
+
+    Rows of a hot key are dealt to parts by their own values, so a repeated task deals them alike, and the right side's
+    rows of that key are repeated for each part: at most ``2 * HOT_KEYS`` parts in all.
+    """
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(counted, keys, total))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), parts.cast("long")).cast("int")).drop("parts")
+    again = right.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(again, [*keys, "part"]).drop("part")
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those whose doc_id and text are in ``gone`` (doc_id, text_hash); all columns, null ids and texts included.
+
+    What decides on a row is its text, so rows that repeat a doc_id are told apart by a 64-bit hash of theirs.
+    """
+    marked = small_side(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_hash(F.col("text")) == F.col("_gone_hash"))
+    return documents.join(marked, same, "left_anti").select(*(f"`{c}`" for c in documents.columns))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def text_batches(batches: Iterator, max_chars: int = 8 << 20) -> Iterator:

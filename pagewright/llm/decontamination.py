@@ -6,7 +6,8 @@ benchmark's; a document holds an item if enough of the item's windows match and
 that the placeholders stand for map to each other one to one.
 
 What is a name shows by its capital only, so a copy in capitals, title case or lower case has another template.
-Each window therefore also has a folded form, in which case tells nothing and names are literal.
+Each window therefore also has a folded form, in which case tells nothing and names are literal. Items too short for a
+template, and those of which most tokens are slots, are searched by their very words.
 
 The pass over the documents drops windows that no benchmark item can have by a
 bitmap of fixed size, so almost nothing reaches the join. A larger benchmark only lets more windows
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import small_side, stored, text_batches
+from pagewright.llm.common import BROADCAST_BYTES, measured_bytes, release, skew_join, stored, text_batches, text_hash, without
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d]\w*|[.!?\n]")
 # Units, when they follow a number.
@@ -140,11 +141,11 @@ class Canonical:
         starts = np.flatnonzero((_in_windows(self.name, length) > 0) & (2 * _in_windows(self.fixed, length) <= length))
         return starts, _window_hashes(self.folded, starts, length)
 
-    def literal_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each window that has no folded form, of its very words and numbers."""
+    def literal_windows(self, length: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each window that has no folded form, or of every one, of its very words and numbers."""
         if len(self.hashes) < length:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        starts = np.flatnonzero(2 * _in_windows(self.fixed, length) > length)
+        starts = np.flatnonzero((2 * _in_windows(self.fixed, length) > length) | every)
         return starts, _window_hashes(self.words[self.keep], starts, length)
 
     def slots(self, start: int, length: int, folded: bool = False) -> list[str]:
@@ -152,24 +153,44 @@ class Canonical:
         return [self.tokens[self.keep[k]].lower() for k in range(start, start + length) if slot[k]]
 
 
-def _window_length(item: Canonical, window: int, least: int) -> int:
-    """Short items are one window; 0: too short to tell."""
-    n = len(item.hashes)
-    return window if n >= window else n if n >= least else 0
+#: Shorter items have no template: their very words are searched.
+LEAST_TEMPLATE = 5
 
 
 _TEMPLATE, _FOLDED, _LITERAL = 1, 2, 4  # bits: a window without names is of two forms; a literal one stands in for a folded one
 _WINDOW_KIND = "hash long, start long, length int, slots array<string>"
 
 
-def _window_rows(rows: list[tuple], first: pa.DataType, name: str) -> pa.RecordBatch:
-    kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int32())
-    names = ["row", name, "hash", "start", "length", "slots", "of", "of_folded", "form"]
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = 8, least: int = 5) -> DataFrame:
-    """item_id, hash, start, length, slots, form, and the numbers ``of`` and ``of_folded`` windows of each item in either form."""
+_WINDOW_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = 8) -> DataFrame:
+    """item_id, hash, start, length, slots, form, and the numbers ``of`` and ``of_folded`` windows of each item in either form.
+
+    An item of fewer than ``window`` tokens is one window.
+    """
+    names = ["item_id", "hash", "start", "length", "slots", "of", "of_folded", "form"]
+
+    def of_item(item, canonical: Canonical) -> Iterator[tuple]:
+        length = min(window, len(canonical.hashes))
+        short = length < LEAST_TEMPLATE
+        if not short:
+            starts, hashes = canonical.windows(length)
+            again, folded = canonical.folded_windows(length)
+            named = _in_windows(canonical.name, length) > 0
+            of = len(starts), len(again) + int((~named[starts]).sum())
+            for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
+                yield item, h, s, length, canonical.slots(s, length), *of, _TEMPLATE if named[s] else _TEMPLATE | _FOLDED
+            for s, h in zip(again.tolist(), folded.view(np.int64).tolist()):
+                yield item, h, s, length, canonical.slots(s, length, True), *of, _FOLDED
+        if short or not of[1]:  # too short, or mostly numbers and units throughout, so no template tells it
+            starts, hashes = canonical.literal_windows(length, short)
+            for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
+                yield item, h, s, length, [], 0, len(starts), _FOLDED | _LITERAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary()
@@ -177,28 +198,28 @@ def benchmark_windows(benchmark: DataFrame, window: int = 8, least: int = 5) ->
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 canonical = Canonical(text, vocabulary)
-                if length := _window_length(canonical, window, least):
-                    starts, hashes = canonical.windows(length)
-                    again, folded = canonical.folded_windows(length)
-                    named = _in_windows(canonical.name, length) > 0
-                    of = len(starts), len(again) + int((~named[starts]).sum())
-                    for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist()):
-                        out.append((0, item, h, s, length, canonical.slots(s, length), *of, _TEMPLATE if named[s] else _TEMPLATE | _FOLDED))
-                    for s, h in zip(again.tolist(), folded.view(np.int64).tolist()):
-                        out.append((0, item, h, s, length, canonical.slots(s, length, True), *of, _FOLDED))
-                    if not of[1]:  # mostly numbers and units throughout, so no template tells it
-                        starts, hashes = canonical.literal_windows(length)
-                        out += [(0, item, h, s, length, [], 0, len(starts), _FOLDED | _LITERAL) for s, h in zip(starts.tolist(), hashes.view(np.int64).tolist())]
-            yield _window_rows(out, pa.int64(), "item_id")
-
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL")
-    return rows.mapInArrow(run, f"row long, item_id long, {_WINDOW_KIND}, of long, of_folded long, form int").drop("row")
+                if len(canonical.hashes):
+                    out += of_item(item, canonical)
+            yield _columns(out, names, [batch.schema.field(0).type, *_WINDOW_TYPES, pa.int64(), pa.int64(), pa.int32()])
+
+    rows = benchmark.select("item_id", "text").filter("item_id IS NOT NULL")
+    return rows.mapInArrow(run, f"item_id {dict(rows.dtypes)['item_id']}, {_WINDOW_KIND}, of long, of_folded long, form int")
 
 
 def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int], literal: bool = False) -> DataFrame:
-    """row, doc_id, hash, start, length and slots of those windows that the bitmap lets through, ``literal`` ones only if asked for."""
+    """row, doc_id, text_hash, hash, start, length and slots of those windows that the bitmap lets through, ``literal`` ones only if asked for."""
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
     fixed = tuple(lengths)
+    names = ["row", "doc_id", "text_hash", "hash", "start", "length", "slots"]
+
+    def forms_of(canonical: Canonical, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if length < LEAST_TEMPLATE:
+            yield 2, *canonical.literal_windows(length, True)
+            return
+        yield 0, *canonical.windows(length)
+        yield 1, *canonical.folded_windows(length)
+        if literal:
+            yield 2, *canonical.literal_windows(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -208,24 +229,32 @@ def candidate_windows(documents: DataFrame, bitmap: bytes, lengths: Sequence[int
         vocabulary = _Vocabulary()
         for batch in text_batches(batches):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 canonical = Canonical(text.as_py(), vocabulary)
                 for length in fixed:
-                    forms = [canonical.windows(length), canonical.folded_windows(length), *([canonical.literal_windows(length)] if literal else [])]
-                    for form, (starts, hashes) in enumerate(forms):
+                    for form, starts, hashes in forms_of(canonical, length):
                         if not len(starts):
                             continue
                         low = hashes & np.uint64((1 << _BITS) - 1)
                         hit = np.flatnonzero(bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                         for s, h in zip(starts[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                            out.append((row, doc_id, h, s, length, canonical.slots(s, length, form > 0) if form < 2 else [], 0, 0, 0))
+                            out.append((row, doc_id, digest, h, s, length, canonical.slots(s, length, form > 0) if form < 2 else []))
                 row += 1
-            yield _window_rows(out, id_type, "doc_id")
+            yield _columns(out, names, [pa.int64(), batch.schema.field(0).type, pa.int64(), *_WINDOW_TYPES])
+
+    rows = documents.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(run, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, {_WINDOW_KIND}")
 
-    rows = documents.select("doc_id", "text")
-    id_kind = dict(rows.dtypes)["doc_id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
-    return rows.mapInArrow(run, f"row long, doc_id {id_kind}, {_WINDOW_KIND}, of long, of_folded long, form int").drop("of", "of_folded", "form")
+
+def _bitmap(items: DataFrame) -> bytes:
+    """The lowest bits of all window hashes as a bitmap; made on the executors, so that at most its 8 MB reach the driver."""
+    place = F.col("hash").bitwiseAND((1 << _BITS) - 1) + 1  # the functions count from 1
+    made = items.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = bytearray(1 << (_BITS - 3))
+    for r in made.collect():
+        at = (r["bucket"] - 1) * len(r["bits"])
+        out[at : at + len(r["bits"])] = r["bits"]
+    return bytes(out)
 
 
 def consistent(pairs: list[tuple[list[str], list[str]]]) -> bool:
@@ -257,36 +286,24 @@ def _judge(found: list[dict], of: int, of_folded: int) -> tuple[float, int]:
     return best
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
-    """Documents that hold a benchmark item: doc_id, item_id, coverage, n_windows, one row per pair.
-
-    ``coverage`` is the least share of an item's windows that a document must have. Items of fewer than
-    ``window`` tokens are one window; those of fewer than five are too short to tell and not searched. An
-    item of which numbers and units fill more than half of every window is found only with the same ones. Case does not
-    matter: the share is the best of the templates, of the folded form, and of both together.
-
-    Edge cases: null or empty texts hold nothing, null item ids are left out, a null
-    doc_id is reported as null; repeated rows are searched one by one, and their best result counts; other columns
-    are ignored; an empty benchmark or table gives no row. Whole texts are searched.
-    """
-    spark = documents.sparkSession
+def _leaking_rows(documents: DataFrame, benchmark: DataFrame, window: int, coverage: float) -> DataFrame:
+    """doc_id, text_hash, item_id, coverage, n_windows, one row for each pair of a document's row and an item."""
+    kind, item_kind = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    schema = f"doc_id {kind}, text_hash long, item_id {item_kind}, coverage double, n_windows long"
     items = stored(benchmark_windows(benchmark, window), "benchmark-windows")
-    bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
-    lengths, literal = set(), False
-    for r in items.select(F.col("hash").bitwiseAND((1 << _BITS) - 1).alias("low"), "length", (F.col("form") >= _LITERAL).alias("literal")).distinct().toLocalIterator():
-        bitmap[r["low"] >> 3] |= 1 << (r["low"] & 7)
-        lengths.add(r["length"])
-        literal |= r["literal"]
-    kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, coverage double, n_windows long"
+    lengths = {r["length"]: r["literal"] for r in items.groupBy("length").agg(F.bool_or(F.col("form") >= _LITERAL).alias("literal")).collect()}  # at most ``window`` rows
     if not lengths:
-        return spark.createDataFrame([], schema)
-    found = stored(candidate_windows(documents, bitmap.tobytes(), sorted(lengths), literal), "candidate-windows")
+        return documents.sparkSession.createDataFrame([], schema)
+    found = stored(candidate_windows(documents, _bitmap(items), sorted(lengths), any(lit for n, lit in lengths.items() if n >= LEAST_TEMPLATE)), "candidate-windows")
     side = items.select("hash", "length", "item_id", "of", "of_folded", "form", F.col("start").alias("item_start"), F.col("slots").alias("item_slots"))
-    joined = found.join(small_side(side, 400), ["hash", "length"]).select(
-        "row", "doc_id", "item_id", "of", "of_folded", F.struct("start", "item_start", "form", F.col("slots").alias("doc_slots"), "item_slots").alias("w")
+    held = found.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("rows"))
+    small = measured_bytes(side) <= BROADCAST_BYTES
+    joined = found.join(F.broadcast(side), ["hash", "length"]) if small else skew_join(found, side, ["hash", "length"], held, found.count())
+    joined = joined.select(
+        "row", "doc_id", "text_hash", "item_id", "of", "of_folded", F.struct("start", "item_start", "form", F.col("slots").alias("doc_slots"), "item_slots").alias("w")
     )
-    grouped = joined.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), F.first("of").alias("of"), F.first("of_folded").alias("of_folded"), F.collect_list("w").alias("found"))
+    # A group is one document with one item: its size is bound by the document's length.
+    grouped = joined.groupBy("row", "item_id").agg(*(F.first(c).alias(c) for c in ("doc_id", "text_hash", "of", "of_folded")), F.collect_list("w").alias("found"))
     least = F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in ("of", "of_folded")))
     likely = grouped.filter(F.size(F.array_distinct(F.transform("found", lambda w: w["item_start"]))) >= coverage * least)
 
@@ -296,21 +313,35 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, cove
             for r in batch.to_pylist():
                 share, matched = _judge(r["found"], r["of"], r["of_folded"])
                 if share >= coverage:
-                    out.append((r["doc_id"], r["item_id"], share, matched))
-            id_type = batch.schema.field("doc_id").type
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], t) for i, t in enumerate((id_type, pa.int64(), pa.float64(), pa.int64()))],
-                ["doc_id", "item_id", "coverage", "n_windows"],
-            )
-
-    pairs = likely.select("doc_id", "item_id", "of", "of_folded", "found").mapInArrow(run, schema)
+                    out.append((r["doc_id"], r["text_hash"], r["item_id"], share, matched))
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), batch.schema.field("item_id").type, pa.float64(), pa.int64()]
+            yield _columns(out, ["doc_id", "text_hash", "item_id", "coverage", "n_windows"], kinds)
+
+    out = stored(likely.select("doc_id", "text_hash", "item_id", "of", "of_folded", "found").mapInArrow(run, schema), "leaks")
+    release(items, found)
+    return out
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
+    """Documents that hold a benchmark item: doc_id, item_id, coverage, n_windows, one row per pair.
+
+    ``coverage`` is the least share of an item's windows that a document must have. Items of fewer than
+    ``window`` tokens are one window. Items of fewer than five tokens, and those of which numbers and units fill more than half of
+    every window, are found only with the very same words. Case does not
+    matter: the share is the best of the templates, of the folded form, and of both together.
+
+    Edge cases: null or empty texts hold nothing, items with a null id or without any word are left out, a null
+    doc_id is reported as null; repeated rows are searched one by one, and their best result counts; other columns
+    are ignored; an empty benchmark or table gives no row. Whole texts are searched. Ids may be of any type.
+    """
+    pairs = _leaking_rows(documents, benchmark, window, coverage)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_windows").alias("n_windows"))
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5) -> DataFrame:
-    """The documents without those that hold a benchmark item; the decision is by doc_id, all columns stay.
+    """The rows without those that hold a benchmark item; all columns stay.
 
-    Rows without a doc_id can't be told apart and are kept.
+    Each row is judged by its own text, so rows that repeat a doc_id, or have none, stay or go one by one. Null and empty texts
+    stay; an empty benchmark removes nothing; columns of any names pass through.
     """
-    leaks = stored(find_leaks(documents, benchmark, window, coverage).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "leaks")
-    return documents.join(small_side(leaks, 32), "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, _leaking_rows(documents, benchmark, window, coverage).select("doc_id", "text_hash").distinct())

@@ -5,7 +5,7 @@ ring, the second gives ring positions their ranks, and shifting it by k position
 coordinate. All coordinates of a shingle are then one contiguous run of ranks.
 
 1. One Arrow pass reduces every document to its shingle set's size and 128-bit digest, and to
-   its band keys. Documents of one digest are one class; only classes go on.
+   its band keys. Documents of one digest are one class; only classes go on, under numbers of 64 bits.
 2. Classes that share a band key are candidates. Buckets are never expanded into pairs:
    each is linked to one member (round 1: to the one that is found in most buckets, round 2: to the
    smallest), links are verified on full sets, and components are contracted as far as one step goes. In round 3 the buckets
@@ -14,6 +14,8 @@ coordinate. All coordinates of a shingle are then one contiguous run of ranks.
    no link between candidates is lost.
 3. Components come from alternating large-star and small-star steps; edges and labels stay distributed.
 
+Buckets, groups, hubs, components and classes may hold a third of all rows: joins on them deal a hot key to many parts.
+
 With b bands of r coordinates a link at similarity s is missed with probability
 (1 - s^r)^b: 5e-6 at 0.8 for 40 bands of 6, less above.
 """
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import BROADCAST_BYTES, release, small_side, stored, text_batches
+from pagewright.llm.common import release, skew_join, small_side, stored, text_batches, text_hash, without
 
 _RING_BITS = 20
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -60,7 +62,7 @@ def shingle_hashes(text: str | None, k: int, known: _Words) -> np.ndarray:
     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(k, len(words))
     n = len(words) - k + 1
-    total = np.full(n, np.uint64(k) * _STEP)
+    total = np.full(n, k * int(_STEP) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(k):
         total = (total ^ hashes[i : i + n]) * _MIX
         total ^= total >> np.uint64(32)
@@ -95,28 +97,28 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(documents: DataFrame, k: int, bands: int = 40, rows: int = 6) -> DataFrame:
-    """doc_id, n_shingles, cls (digest of the shingle set; null if empty) and bands of every row."""
+    """doc_id, text_hash, n_shingles, digest of the shingle set (null if empty) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in text_batches(batches):
             sizes, digests, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_hashes(text.as_py(), k, known)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(band_keys(signature(found, bands * rows), bands, rows).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "cls", "bands"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
-    frame = documents.select("doc_id", "text")
-    return frame.mapInArrow(run, f"doc_id {dict(frame.dtypes)['doc_id']}, n_shingles long, cls binary, bands array<long>")
+    frame = documents.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    return frame.mapInArrow(run, f"doc_id {dict(frame.dtypes)['doc_id']}, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
 def shingle_sets(documents: DataFrame, k: int) -> DataFrame:
-    """cls and shingles of every row that has any."""
+    """digest and shingles of every row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -124,10 +126,10 @@ def shingle_sets(documents: DataFrame, k: int) -> DataFrame:
             found = [s for t in batch.column(0) if len(s := shingle_hashes(t.as_py(), k, known))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                ["cls", "shingles"],
+                ["digest", "shingles"],
             )
 
-    return documents.select("text").mapInArrow(run, "cls binary, shingles array<long>")
+    return documents.select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def contracted(edges: DataFrame, full: bool = True) -> DataFrame:
@@ -140,12 +142,13 @@ def contracted(edges: DataFrame, full: bool = True) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large-star")
+        least = both.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("rows")).select("u", F.least("least", "u").alias("m"), "rows")
+        large = skew_join(both.filter("v > u"), least.select("u", "m"), ["u"], least, 2 * now.count())
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
         release(now)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        small = skew_join(large, least.select("u", "m"), ["u"], least, large.count())
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = stored(small.select("e.*").filter("u <> v").distinct(), "small-star")
         release(large)
         if not full or _are_stars(now):
@@ -178,18 +181,45 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     with other ids; a component of null ids only has a null component_id and is kept. Other columns are
     ignored; an empty table gives no row.
     """
-    spark = documents.sparkSession
+    out = _resolved(documents, k, percent, bands, rows).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _resolved(documents: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and first of every row.
+
+    ``first`` is the row that stands for the component: (null id last, doc_id, text_hash), the smallest. A row without shingles stands for itself.
+    """
     sketches = stored(sketch(documents, k, bands, rows), "sketches")
-    classes = stored(sketches.filter("cls IS NOT NULL").dropDuplicates(["cls"]), "classes")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    grouped = sketches.filter("digest IS NOT NULL").groupBy("digest")
+    grouped = grouped.agg(F.min(own).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")  # numbered as they are written, so the numbers stay
+    edges = _linked(documents, classes, k, percent)
+    labels = labels_of(edges)
+    named = classes.select("digest", "cls", "first", "rows").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = named.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("rows"))
+    named = skew_join(named.select("digest", "label", F.col("rows").alias("copies")), least.select("label", "least"), ["label"], least, classes.count())
+    named = stored(named.select("digest", F.col("least").alias("first"), F.col("copies").alias("rows")), "named")
+    alone = sketches.filter("digest IS NULL").select("doc_id", "text_hash", "n_shingles", own.alias("first"))
+    some = sketches.filter("digest IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "digest")
+    out = skew_join(some, named.select("digest", "first"), ["digest"], named, sketches.count()).drop("digest")
+    release(classes, edges)
+    return alone.unionByName(out)
+
+
+def _linked(documents: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Fully contracted edges (a, b) between classes of one component."""
+    spark = documents.sparkSession
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("key")
-    bare = stored(keyed.join(shared, "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    bare = stored(skew_join(keyed, shared.select("key"), ["key"], shared, 40 * classes.count()), "members")
     facts = bare.groupBy("cls").agg(F.count(F.lit(1)).alias("buckets"))
-    candidates = stored(classes.select("cls", "doc_id", F.col("n_shingles").alias("n")).join(facts, "cls"), "candidates")
-    members = stored(bare.join(candidates.drop("doc_id"), "cls"), "bucket-members")
+    candidates = stored(classes.select("cls", "digest", F.col("first.doc_id").alias("doc_id"), "n").join(facts, "cls"), "candidates")
+    members = stored(bare.join(candidates.select("cls", "n", "buckets"), "cls"), "bucket-members")
     sets = _candidate_sets(documents, candidates, k)
-    release(classes, bare, candidates)
-    edges = spark.createDataFrame([], "a binary, b binary")
+    release(bare, candidates)
+    edges = spark.createDataFrame([], "a long, b long")
     for choose in ("medoid", "smallest", "blocks"):
         labels = labels_of(edges)
         if choose == "blocks":
@@ -202,18 +232,16 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
         before, edges = edges, contracted(edges.unionByName(links), full=choose == "blocks")
         release(pairs, links, before)
     release(members, sets)
-    labels = labels_of(edges)
-    return _resolved(sketches, labels)
+    return edges
 
 
 def _candidate_sets(documents: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets of the candidate classes, from one document of each."""
-    wanted = candidates.select("doc_id").distinct()
-    if wanted.count() * 16 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
+    """cls and full shingle set of the candidate classes, from one document of each."""
+    wanted = small_side(candidates.select(F.col("doc_id").alias("wanted")).distinct())
     texts = documents.select("doc_id", "text")
-    texts = texts.join(wanted.withColumnRenamed("doc_id", "wanted"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    return stored(shingle_sets(texts, k).dropDuplicates(["cls"]), "sets")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    once = shingle_sets(texts, k).dropDuplicates(["digest"])
+    return stored(once.join(candidates.select("cls", "digest"), "digest").select("cls", "shingles"), "sets")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,22 +249,25 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _centres(rows: DataFrame) -> DataFrame:
-    """Of each bucket that holds more than one component: the member found in most buckets, and the smallest."""
+    """Of each bucket that holds more than one component: the member found in most buckets, the smallest, and its number of rows."""
     split = rows.groupBy("key").agg(
         F.min("label").alias("low"),
         F.max("label").alias("high"),
-        F.max_by(F.struct("cls", "n", "label"), F.struct("buckets", "cls")).alias("medoid"),
-        F.min_by(F.struct("cls", "n", "label"), F.col("cls")).alias("smallest"),
+        F.max(F.struct("buckets", "cls", "n", "label")).alias("medoid"),
+        F.min(F.struct("cls", "n", "label")).alias("smallest"),
+        F.count(F.lit(1)).alias("rows"),
     )
-    return split.filter("low < high").select("key", "medoid", "smallest")
+    return split.filter("low < high").select("key", "medoid", "smallest", "rows")
 
 
 def _star_pairs(members: DataFrame, labels: DataFrame, choose: str, percent: int) -> DataFrame:
-    """Each member with its bucket's centre (a < b), if in different components and if their sizes allow the similarity."""
+    """Each member (a) with its bucket's centre (b), if in different components and if their sizes allow the similarity."""
     rows = _labelled(members, labels)
-    joined = rows.join(_centres(rows).select("key", *(F.col(f"{choose}.{c}").alias(f"{c}_2") for c in ("cls", "n", "label"))), "key")
+    centres = _centres(rows)
+    chosen = centres.select("key", *(F.col(f"{choose}.{c}").alias(f"{c}_2") for c in ("cls", "n", "label")))
+    joined = skew_join(rows.select("key", "cls", "n", "label"), chosen, ["key"], centres, members.count())
     fits = (F.col("label") != F.col("label_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
-    return joined.filter(fits).select(F.least("cls", "cls_2").alias("a"), F.greatest("cls", "cls_2").alias("b")).distinct()
+    return joined.filter(fits).select(F.col("cls").alias("a"), F.col("cls_2").alias("b")).distinct()
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,11 +277,12 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     class is in few groups, not in one for each band.
     """
     rows = _labelled(members, labels)
-    centres = _centres(rows).select("key", F.col("medoid.cls").alias("group"))
-    return rows.join(centres, "key").select("group", "cls", "label", "n").distinct()
+    centres = _centres(rows)
+    joined = skew_join(rows.select("key", "cls", "label", "n"), centres.select("key", F.col("medoid.cls").alias("group")), ["key"], centres, members.count())
+    return joined.select("group", "cls", "label", "n").distinct()
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 256, block: int = 512, most_shingles: int = 1_000_000) -> DataFrame:
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 512, block: int = 2048, most_shingles: int = 2_000_000) -> DataFrame:
     """Links (a < b) between members of a group in different components, at least one for each two components linked there.
 
     Members outside the group's largest component meet all members, block by block. A block holds about
@@ -258,15 +290,16 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: in
     """
     sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingled"))
     sizes = sizes.groupBy("group").agg(
-        F.max_by("label", F.struct("members", "label")).alias("major"),
-        F.max_by(F.struct("members", "shingled"), F.struct("members", "label")).alias("largest"),
+        F.max(F.struct("members", "label", "shingled")).alias("largest"),
         F.sum("members").alias("members"),
         F.sum("shingled").alias("shingled"),
     )
+    counted = sizes.select("group", F.col("members").alias("rows"))
+    sizes = sizes.withColumn("major", F.col("largest.label"))
     cut = lambda members, size, shingled: F.greatest(F.ceil(members / size), F.ceil(shingled / most_shingles)).cast("int")
     minor_blocks = cut(F.col("members") - F.col("largest.members"), minor_block, F.col("shingled") - F.col("largest.shingled"))
     blocks = cut(F.col("members"), block, F.col("shingled"))
-    held = rows.drop("n").join(sizes, "group").join(sets, "cls")
+    held = skew_join(rows.drop("n"), sizes, ["group"], counted, rows.count()).join(sets, "cls")
     place = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     minor = held.filter("label <> major").select("group", place(minor_blocks).alias("i"), each(blocks).alias("j"), "cls", "label", "shingles")
@@ -276,12 +309,12 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: in
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = _compare(left, right, percent) if left.num_rows and right.num_rows else []
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(compare, "a binary, b binary").distinct()
+    return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
-def _compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+def _compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Linked pairs across labels, one for each left row and right label; sizes of intersections are exact."""
     column = right["shingles"].combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -307,27 +340,33 @@ def _compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[bytes,
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose full sets are similar enough."""
+    """Those pairs (a member, b centre) whose full sets are similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+    centres = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    near = skew_join(pairs, right, ["b"], centres, pairs.count())
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _resolved(sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of classes turned into the smallest doc_id, for every row."""
-    own = sketches.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    own = own.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = own.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = own.join(least, "label").select("cls", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    return near.join(left, "a").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def remove_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: all columns of the rows whose doc_id is kept; rows without an id stay."""
-    dropped = stored(near_duplicates(documents, k, percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-duplicates")
-    return documents.join(small_side(dropped, 32), "doc_id", "left_anti").select(*documents.columns)
+    """One row of each group of near duplicates, with all columns.
+
+    The row of the smallest doc_id stays (null ids come last; of one doc_id the text with the smallest hash), and of rows that repeat
+    both doc_id and text any one. So rows (1, A), (2, A), (2, B) give (1, A) and (2, B).
+
+    Edge cases: rows without words (null, empty, blank texts) all stay; an empty table gives none; long texts are read
+    whole; columns of any names pass through.
+    """
+    rows = _resolved(documents, k, percent, 40, 6).filter("n_shingles > 0")
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    keys = rows.select("doc_id", "text_hash", stands.alias("stands")).groupBy("doc_id", "text_hash").agg(F.first("stands").alias("stands"), F.count(F.lit(1)).alias("n"))
+    gone = stored(keys.filter("NOT stands OR n > 1"), "near-duplicates")
+    out = without(documents, gone)
+    repeated = gone.filter("stands").select("doc_id", "text_hash")
+    if repeated.isEmpty():
+        return out
+    once = documents.withColumn("_text_hash", text_hash(F.col("text")))
+    marked = small_side(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    once = once.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return out.unionByName(once.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import stored, text_batches
+from pagewright.llm.common import stored, text_batches, text_hash, without
 
 FEATURES = (
     "log_words", "log_word_length", "log_word_spread", "upper", "symbols", "digits", "stops", "commas", "distinct", "repeats",
@@ -83,15 +83,15 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, features array<double>) for every row; whole texts are read."""
+    """(doc_id, text_hash, features array<double>) for every row; whole texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            rows = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "features"])
+            rows = [statistics(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "text_hash", "features"])
 
-    rows = documents.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, features array<double>")
+    rows = documents.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, features array<double>")
 
 
 @dataclass(frozen=True)
@@ -170,16 +170,16 @@ def fit(features: DataFrame, labels: DataFrame, shrink_pooled: float = 0.7, shri
 
 
 def score(features: DataFrame, model: QualityModel | None) -> DataFrame:
-    """(doc_id, score): the probability that a document is good; 0.5 for all without a model."""
+    """(doc_id, text_hash, score): the probability that a document is good; 0.5 for all without a model."""
     if model is None:
-        return features.select("doc_id", F.lit(0.5).alias("score"))
+        return features.select("doc_id", "text_hash", F.lit(0.5).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(rows), pa.float64())], ["doc_id", "score"])
+            rows = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(rows), pa.float64())], ["doc_id", "text_hash", "score"])
 
-    return features.select("doc_id", "features").mapInArrow(run, f"doc_id {dict(features.dtypes)['doc_id']}, score double")
+    return features.select("doc_id", "text_hash", "features").mapInArrow(run, f"doc_id {dict(features.dtypes)['doc_id']}, text_hash long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,6 +187,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_hash and score of every row, by a model of the labels that are not held out."""
+    features = stored(document_statistics(documents), "quality-statistics")
+    return score(features, fit(features, labels.filter(~held_out(F.col("doc_id")))))
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
@@ -195,8 +201,16 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     columns, lang and source among them, are never read. Without labels of both classes every score is 0.5. An
     empty table gives no row.
     """
-    features = stored(document_statistics(documents), "quality-statistics")
-    model = fit(features, labels.filter(~held_out(F.col("doc_id"))))
-    return score(features, model).select(
+    return _scored(documents, labels).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
     )
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose score reaches the threshold.
+
+    Each row is judged by its own text: rows that repeat a doc_id, or have none, stay or go one by one. Null and empty texts are
+    judged like any other; long texts are read whole; an empty table gives none; columns of any names pass through.
+    """
+    rejected = stored(_scored(documents, labels).filter(F.col("score") < threshold).select("doc_id", "text_hash").distinct(), "rejected")
+    return without(documents, rejected)

@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
     keyed = stored(_payload_keys(pages, min_bytes), "warc-keys")
     revisits = stored(mark_revisits(keyed), "warc-revisits")
     rows = pages.select("page_id", "url", _payload(F.col("html")).alias("payload"), F.sha1(_payload(F.col("html"))).alias("key"))
-    rows = rows.join(small_side(revisits, 96), ["page_id", "key"], "left").drop("key")
+    rows = rows.join(small_side(revisits), ["page_id", "key"], "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -386,8 +386,55 @@ def test_no_whole_item_of_a_larger_table_is_missed(spark):
     assert len(wanted) > 200 and not wanted - found
 
 
+def test_short_items_are_found_by_their_words(spark):
+    items = ("Who wrote Hamlet", "42", "", "...", "five short words stand here")
+    texts = ["So: WHO wrote hamlet?", "who wrote it", "it is 42", "it is 421", "plain", None, "Five short words, stand here."]
+    assert _leaks(spark, texts, items) == [(0, 0), (2, 1), (6, 4)]
+
+
+def test_bitmap_holds_all_hashes_and_no_other(spark):
+    items = spark.createDataFrame([(h,) for h in (0, 1, 7, 8, 32_767, 32_768, (1 << 26) - 1, -1, 1 << 40)], "hash long")
+    bits = np.unpackbits(np.frombuffer(D._bitmap(items), np.uint8), bitorder="little")
+    assert len(bits) == 1 << 26 and np.flatnonzero(bits).tolist() == [0, 1, 7, 8, 32_767, 32_768, (1 << 26) - 1]
+
+
+def test_leaks_with_other_types_of_ids(spark):
+    documents = spark.createDataFrame([(1, ITEM), (2, "no")], "doc_id short, text string")
+    benchmark = spark.createDataFrame([("q", ITEM)], "item_id string, text string")
+    assert [tuple(r)[:2] for r in D.find_leaks(documents, benchmark).collect()] == [(1, "q")]
+
+
 # --- pipeline ---
 
+def test_stages_decide_on_rows_not_on_ids(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, a, "x"), (None, ITEM, "x"), (None, ITEM, "x"), (3, "", "x"), (3, "", "x"), (3, None, "x"), (4, b + " ten", "y"), (4, b + " ten", "z"), (4, "short", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.remove_near_duplicates(frame).collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (None, ITEM), (3, ""), (3, ""), (3, None), (4, "short")], key=repr)
+    only = frame.filter("doc_id = 4")
+    assert sorted(r["text"] for r in minhash.remove_near_duplicates(only).collect()) == [b + " ten", "short"]
+    clean = D.remove_leaks(frame.unionByName(spark.createDataFrame([(1, ITEM.upper(), "x")], frame.schema)), spark.createDataFrame([(0, ITEM)], "item_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(((d, t) for d, t, _ in rows if t != ITEM), key=repr)
+    assert clean.columns == frame.columns
+
+
+def test_joins_on_hot_keys_are_exact(spark, monkeypatch):
+    from pagewright.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 16)
+    rows = [(k % 40 if k % 3 else 7, k, "t") for k in range(500)]
+    left = spark.createDataFrame(rows, "key long, n long, part string")
+    counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    right = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    hot = common.hot_keys(counted, ["key"], 500).collect()
+    assert [r["key"] for r in hot] == [7] and hot[0]["parts"] >= 5
+    found = sorted((r["key"], r["n"], r["twice"]) for r in common.skew_join(left.drop("part"), right, ["key"], counted, 500).collect())
+    assert found == sorted((k, n, 2 * k) for k, n, _ in rows if k < 30)
+
+
+
 def test_pipeline_against_brute_force(spark):
     con = connect(SF)
     rows = con.sql("select doc_id, text from documents").fetchall()
