@@ -9,38 +9,50 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm.common import small_side, stored, table
+from pagewright.llm.common import release, stored, table
 from pagewright.llm.decontamination import remove_leaks
 from pagewright.llm.minhash import remove_near_duplicates
 from pagewright.llm.packing import pack_documents
-from pagewright.llm.quality import classify
+from pagewright.llm.quality import accepted
 
 #: Documents that score less are rejected.
 QUALITY_THRESHOLD = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts.
+    """Rows that the quality classifier accepts, with all columns.
 
-    Rows without a doc_id can't be told apart by their decision and are kept.
+    Null, empty and very long texts are scored as a whole like any other; each of repeated rows, and each row
+    without a doc_id, is judged by its own text; a score equal to the threshold is accepted; without labels of both
+    classes, and for an empty table, nothing is rejected. Columns of any names pass through.
     """
-    scored = classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), QUALITY_THRESHOLD)
-    rejected = stored(scored.filter("predicted = 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return docs.join(small_side(rejected, 32), "doc_id", "left_anti").select(*docs.columns)
+    return accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), QUALITY_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), with all columns.
+
+    Rows without words all stay. Of a group the smallest doc_id stays, null ids come last, of one doc_id the text with the
+    smallest hash, of equal rows any one. Very long texts are compared whole; an empty table gives none.
+    """
     return remove_near_duplicates(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
+    """Rows that hold no benchmark item, re-parameterised ones included, with all columns.
+
+    Null and empty texts hold none; very long texts are searched whole; each of repeated rows, and each row without a
+    doc_id, is judged by its own text; an empty benchmark removes nothing.
+    """
     return remove_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents that are left, packed into sequences."""
+    """Pieces of all rows that are left, packed into sequences.
+
+    A null or empty text is the closing id alone; repeated rows are packed one by one, null ids pass through; very long
+    texts are cut into windows; an empty table gives none; other columns are not read.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -59,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
     return docs
