@@ -142,6 +142,40 @@ def test_neighbours_recall(spark):
     assert all(abs(exact[q, v] - s) < 1e-12 for q, f in found.items() for v, s in f if (q, v) in exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.1", "check_s"])
+def test_lists_are_many_and_balanced_and_half_of_the_rows_suffice(sf):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    table = pq.read_table(path if not glob.glob(path + "/*") else path)
+    ids = table["vec_id"].to_numpy()
+    x = ann._scaled(ann._matrix(table["embedding"]))
+    p = ann.IndexParameters()
+    centroids = ann.fit_centroids(x, max(len(x) // p.list_rows, p.least_lists))
+    near, close = ann.assigned(x, centroids, p.replicas, p.boundary_ratio)
+    sizes = np.bincount(near[close], minlength=len(centroids))
+    assert len(centroids) >= 128 and sizes.max() <= 6 * len(x) / len(centroids)
+    ratio, usual = ann.pruning(x, centroids, p, 5)
+    graph = ann.CentroidGraph(centroids, p.degree)
+    hits, read = [], []
+    for q in np.flatnonzero(ids % 50 == 0):
+        lists = graph.within(x[q], ratio, usual, sizes, 6)
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append((np.isin(near[best := np.argsort(-score)[:5]], lists) & close[best]).any(axis=1).mean())
+        read.append(sizes[lists].sum() / len(x))
+    assert np.mean(hits) >= 0.9 and np.mean(read) < 0.5
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(50 * i, [1.0, float(i), 0.5]) for i in range(1, 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.Counter(r["query_id"] for r in ann.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect())
+    assert found == {0: 5, 50: 2, 100: 2, 150: 2}
+
+
 def test_neighbours_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (50, [0.0, -1e-30]), (None, [1.0, 1.0]), (8, [1.0])]
     frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
@@ -155,8 +189,8 @@ def test_repeated_rows_push_no_neighbour_out(spark):
     x = np.random.default_rng(4).normal(size=(300, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     asked = F.col("vec_id") % 50 == 0
-    one_list = ann.IndexParameters()
-    tiny_lists = ann.IndexParameters(list_rows=4, block_rows=16, prune_ratio=1.0, boundary_ratio=1.0)
+    one_list = ann.IndexParameters(list_rows=10_000, least_lists=1)
+    tiny_lists = ann.IndexParameters(list_rows=4, block_rows=16, wanted=0.0, boundary_ratio=1.0)
     for copies in (1, 2, 5):
         frame = spark.createDataFrame(rows * copies, "vec_id long, embedding array<double>")
         wanted = _brute_neighbours([(i, v) for i, v in enumerate(x)], 5)
@@ -173,7 +207,7 @@ def test_neighbours_with_many_lists_and_blocks(spark):
     x = (centres[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 16))).astype(np.float32)
     x[1000:2000] = x[1000]  # a third of all rows is one vector
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    small = ann.IndexParameters(sample_rows=500, list_rows=100, block_rows=64)
+    small = ann.IndexParameters(sample_rows=500, list_rows=100, least_lists=1, block_rows=64, query_rows=8)
     found = collections.defaultdict(list)
     for r in ann.nearest_neighbours(frame, F.col("vec_id") % 50 == 0, 5, small).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["vec_id"], r["score"]))
