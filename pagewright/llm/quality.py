@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import stored, text_batches, text_hash, without
@@ -125,50 +127,109 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(difference, -500, 500)))
 
 
-def fit(features: DataFrame, labels: DataFrame, shrink_pooled: float = 0.7, shrink_identity: float = 0.005, temperature: float = 4.0) -> QualityModel | None:
-    """Fit on (doc_id, features) joined with (doc_id, quality 0/1); None if a class has no row.
+#: Shrinkage towards the pooled covariance and towards the identity, and temperatures, that ``fit`` chooses from.
+SHRINK_POOLED, SHRINK_IDENTITY, TEMPERATURES = (0.1, 0.3, 0.5, 0.7, 0.9), (0.001, 0.005, 0.02, 0.1), (1.0, 2.0, 4.0, 8.0, 16.0)
+FOLDS = 4
+#: Rows of each fold and class, at most, that the choice is judged on; the sums are of all rows.
+JUDGED_ROWS = 1_000
 
-    All labelled rows count: per class their number, sums and sums of products are
-    aggregated, about 200 numbers whatever the input's size. Labels that are null or neither 0 nor 1 are
-    left out; of repeated labels each counts.
-    """
+
+@dataclass(frozen=True)
+class Sums:
+    """Number, sums and sums of products of one class's rows."""
+
+    n: int
+    s: np.ndarray
+    p: np.ndarray
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.n + other.n, self.s + other.s, self.p + other.p)
+
+    def __sub__(self, other: Sums) -> Sums:
+        return Sums(self.n - other.n, self.s - other.s, self.p - other.p)
+
+
+def model_of(sums: dict[int, Sums], shrink_pooled: float, shrink_identity: float, temperature: float) -> QualityModel:
+    """The discriminant of two classes, from their sums alone."""
     d = len(FEATURES)
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
-    rows = features.join(marked, "doc_id")
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    x = lambda i: F.get("features", F.lit(i))
-    sums = rows.groupBy("quality").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*(F.sum(x(i)) for i in range(d))).alias("s"), F.array(*(F.sum(x(i) * x(j)) for i, j in pairs)).alias("p")
-    )
-    found = {r["quality"]: r for r in sums.collect()}  # two rows at most
-    if len(found) < 2:
-        return None
-    counts = {c: r["n"] for c, r in found.items()}
-    total = sum(counts.values())
-    means = {c: np.array(r["s"]) / r["n"] for c, r in found.items()}
-    scatter = {}
-    for c, r in found.items():
-        full = np.zeros((d, d))
-        for (i, j), value in zip(pairs, r["p"]):
-            full[i, j] = full[j, i] = value
-        scatter[c] = full - r["n"] * np.outer(means[c], means[c])
-    centre = sum(counts[c] * means[c] for c in found) / total
+    total = sum(x.n for x in sums.values())
+    means = {c: x.s / x.n for c, x in sums.items()}
+    scatter = {c: x.p - x.n * np.outer(means[c], means[c]) for c, x in sums.items()}
+    centre = sum(x.s for x in sums.values()) / total
     within = sum(scatter.values()) / total
     scale = np.sqrt(np.maximum(np.diag(within), 1e-8))
     pooled = within / np.outer(scale, scale)
 
     def gaussian(c: int) -> Gaussian:
-        own = scatter[c] / counts[c] / np.outer(scale, scale)
+        own = scatter[c] / sums[c].n / np.outer(scale, scale)
         cov = (1 - shrink_pooled) * own + shrink_pooled * pooled
         cov = (1 - shrink_identity) * cov + shrink_identity * max(np.trace(cov) / d, 1e-6) * np.eye(d)
         lower = np.linalg.cholesky(cov)
         whiten = np.linalg.inv(lower)
         log_det = 2 * float(np.log(np.diag(lower)).sum())
-        return Gaussian(math.log(counts[c] / total), tuple(((means[c] - centre) / scale).tolist()), tuple(map(tuple, whiten.tolist())), log_det)
+        return Gaussian(math.log(sums[c].n / total), tuple(((means[c] - centre) / scale).tolist()), tuple(map(tuple, whiten.tolist())), log_det)
 
     return QualityModel(tuple(centre.tolist()), tuple(scale.tolist()), gaussian(1), gaussian(0), temperature)
 
 
+def _fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(FOLDS)).cast("int")
+
+
+def fit(features: DataFrame, labels: DataFrame, shrink_pooled: float | None = None, shrink_identity: float | None = None, temperature: float | None = None) -> QualityModel | None:
+    """Fit on (doc_id, features) joined with (doc_id, quality 0/1); None if a class has no row.
+
+    All labelled rows count: per class and fold their number, sums and sums of products are
+    aggregated, about 200 numbers each whatever the input's size. What is not given of the shrinkages and the temperature is chosen by
+    cross-validation over ``FOLDS`` folds of these labelled rows, and of no others: the choice of the least log loss on
+    at most ``JUDGED_ROWS`` rows of each fold and class. Labels that are null or neither 0 nor 1 are
+    left out; of repeated labels each counts.
+    """
+    d = len(FEATURES)
+    marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)")
+    rows = features.join(marked, "doc_id").withColumn("fold", _fold(F.col("doc_id")))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    x = lambda i: F.get("features", F.lit(i))
+    grouped = rows.groupBy("quality", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.sum(x(i)) for i in range(d))).alias("s"), F.array(*(F.sum(x(i) * x(j)) for i, j in pairs)).alias("p")
+    )
+    by_fold: dict[tuple[int, int], Sums] = {}
+    for r in grouped.collect():  # two classes times the folds
+        full = np.zeros((d, d))
+        for (i, j), value in zip(pairs, r["p"]):
+            full[i, j] = full[j, i] = value
+        by_fold[r["quality"], r["fold"]] = Sums(r["n"], np.array(r["s"]), full)
+    sums: dict[int, Sums] = {}
+    for (c, _), part in sorted(by_fold.items(), key=lambda item: item[0]):
+        sums[c] = sums[c] + part if c in sums else part
+    if len(sums) < 2:
+        return None
+    options = [known if value is None else (value,) for value, known in ((shrink_pooled, SHRINK_POOLED), (shrink_identity, SHRINK_IDENTITY), (temperature, TEMPERATURES))]
+    grid = list(product(*options))
+    return model_of(sums, *(grid[0] if len(grid) == 1 else _chosen(rows, sums, by_fold, grid)))
+
+
+def _chosen(rows: DataFrame, sums: dict[int, Sums], by_fold: dict[tuple[int, int], Sums], grid: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """The choice of the least log loss, both classes counting alike, on rows of folds that their model has not seen."""
+    place = F.row_number().over(W.partitionBy("quality", "fold").orderBy(F.xxhash64(F.lit(1), F.col("doc_id").cast("string")), "features"))
+    drawn = rows.withColumn("place", place).filter(F.col("place") <= JUDGED_ROWS).select("quality", "fold", "features").toArrow()  # at most 2 * FOLDS * JUDGED_ROWS rows
+    judged = np.array(drawn["features"].combine_chunks().flatten()).reshape(drawn.num_rows, -1)
+    quality, fold = drawn["quality"].to_numpy(), drawn["fold"].to_numpy()
+    loss = dict.fromkeys(grid, 0.0)
+    for f in range(FOLDS):
+        rest = {c: x - by_fold[c, f] if (c, f) in by_fold else x for c, x in sums.items()}
+        mine = {c: judged[(fold == f) & (quality == c)] for c in sums}
+        if min(x.n for x in rest.values()) < 2:
+            continue
+        for choice in grid:
+            model = model_of(rest, *choice)
+            for c, held in mine.items():
+                if len(held):
+                    share = np.clip(model.scores(held), 1e-12, 1 - 1e-12)
+                    loss[choice] -= float(np.log(share if c else 1 - share).mean())
+    return min(grid, key=lambda choice: (loss[choice], [-x for x in choice]))
+
+
 def score(features: DataFrame, model: QualityModel | None) -> DataFrame:
     """(doc_id, text_hash, score): the probability that a document is good; 0.5 for all without a model."""
     if model is None:

@@ -253,7 +253,7 @@ def test_quality_fit_is_that_of_all_rows(spark):
     y = rng.integers(0, 2, 60)
     features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, features array<double>")
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
-    model = Q.fit(features, labels, 0.3, 0.05)
+    model = Q.fit(features, labels, 0.3, 0.05, 4.0)
     scale = np.sqrt(sum((y == c).sum() * x[y == c].var(0) for c in (0, 1)) / 60)
     assert np.allclose(model.scale, scale) and np.allclose(model.centre, x.mean(0))
     scaled = (x - x.mean(0)) / scale
@@ -268,6 +268,47 @@ def test_quality_fit_is_that_of_all_rows(spark):
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(-(logs[0] - logs[1]) / 4)))
 
 
+def test_quality_parameters_are_chosen_on_training_rows_alone(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 2, 400)
+    x = rng.normal(size=(400, len(Q.FEATURES))) + 0.4 * y[:, None]
+    features = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "doc_id long, text_hash long, features array<double>")
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(400)]
+    seen = []
+    chosen = Q._chosen
+    monkeypatch.setattr(Q, "_chosen", lambda rows, *rest: seen.append(({r["doc_id"] for r in rows.collect()}, found := chosen(rows, *rest))) or found)
+    models = []
+    for flip in (False, True):  # what held-out rows say changes nothing
+        labels = spark.createDataFrame([(i, int(v ^ (flip and h))) for i, (v, h) in enumerate(zip(y.tolist(), held))], "doc_id long, quality int")
+        models.append(Q.fit(features, labels.filter(~Q.held_out(F.col("doc_id")))))
+    assert models[0] == models[1] and seen[0] == seen[1]
+    assert seen[0][0] == {i for i, h in enumerate(held) if not h}
+    assert seen[0][1][0] >= 0.7  # one covariance for both classes here
+
+
+@pytest.mark.parametrize("text", ["", "a", "Aa bb, CC! 12 d3.\n\nAa bb, CC! 12 d3.\nq q q é ?? ...", "word " * 40 + "\tX\x0b9"])
+def test_quality_statistics_against_plain_counts(text):
+    words, raw = text.split(), text.encode()
+    n, lines = len(words), [x for x in text.split("\n") if x]
+    visible = max(1, sum(b >= 33 and b != 127 for b in raw))
+    logit = lambda k, of: math.log((k + 0.5) / (of - k + 0.5))
+    count = lambda f: sum(map(f, raw))
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))
+    odd = sum(not w.isalnum() and (not w.rstrip(".,;:!?").isalnum() or len(w) - len(w.rstrip(".,;:!?")) > 1) for w in words)
+    m = max(1, n)
+    wanted = [
+        math.log1p(n), math.log(max(1.0, mean)), math.log1p(spread), logit(count(lambda b: 65 <= b <= 90), visible),
+        logit(count(lambda b: 33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in ".?!,"), visible), logit(count(lambda b: 48 <= b <= 57), visible),
+        logit(count(lambda b: chr(b) in ".?!"), visible), logit(count(lambda b: b == 44), visible), math.log((len(set(words)) + 1) / (n + 1)) / math.log(n + 2),
+        logit(sum(a == b for a, b in zip(words, words[1:])), m), logit(max((words.count(w) for w in words), default=0), m), logit(odd, m),
+        logit(sum(not any(map(str.isalnum, w)) for w in words), m), logit(sum(w[0].isupper() for w in words), m), logit(len(lines) - len(set(lines)), max(1, len(lines))),
+        math.log1p(n / max(1, len(lines))), logit(sum(x > 12 for x in lengths), m), logit(count(lambda b: b >= 128), visible),
+    ]
+    assert np.allclose(Q.statistics(text), wanted)
+
+
 def test_quality_edge_cases(spark):
     texts = [None, "", " \n ", "x", "!!! ???", "long text, " * 20_000, "\ud83d\ude00 ok".encode("utf-16", "surrogatepass").decode("utf-16")]
     frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(None, "a", 0)], "doc_id long, text string, score int")
