@@ -2,7 +2,8 @@
 
 The automaton holds the tokens of all licence templates. A file's tokens are streamed
 through it; the matching statistics (the longest template substring that ends at
-each token) give maximal matches, which are chained per template into covered spans.
+each token) give maximal matches, which are chained per template into covered spans. Licences of one family share most
+of their words: a span needs one of the phrases that tell its licence from the others, and of overlapping spans the one of most words stays.
 The automaton is a fixed value of the code's templates, built once per Python worker.
 """
 
@@ -68,6 +69,52 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "license, visit http://creativecommons.org/licenses/by-nc/4.0/",
         "Licensed under CC BY-NC 4.0.",
     ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should "
+        "have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This "
+        "library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have "
+        "received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    "cc-by-sa": (
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, "
+        "visit http://creativecommons.org/licenses/by-sa/4.0/",
+        "Licensed under CC BY-SA 4.0.",
+    ),
+    "cc-by-nd": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License. To view a copy of this "
+        "license, visit http://creativecommons.org/licenses/by-nd/4.0/",
+        "Licensed under CC BY-ND 4.0.",
+    ),
+    "cc-by-nc-sa": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. To view a copy of "
+        "this license, visit http://creativecommons.org/licenses/by-nc-sa/4.0/",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ),
+    "cc-by-nc-nd": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License. To view a copy "
+        "of this license, visit http://creativecommons.org/licenses/by-nc-nd/4.0/",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ),
+    "mit-0": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND",
+    ),
+    "0bsd": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+    ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
         "with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -78,6 +125,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+# Phrases of which a span must hold one, for licences whose families share most of their words.
+TELLING: dict[str, tuple[str, ...]] = {
+    "gpl": ("gnu general public license",),
+    "agpl": ("affero general public license",),
+    "lgpl": ("lesser general public license",),
+    "mit": ("subject to the following conditions", "mit license"),
+    "mit-0": ("furnished to do so the software is",),
+    "isc": ("provided that the above copyright notice",),
+    "0bsd": ("is hereby granted the software is",),
+    **{
+        label: tuple(f"{name} {end}" for name in names for end in ("1", "2", "3", "4", "international", "unported", "license"))
+        for label, names in {
+            "cc-by": ("attribution", "cc by"),
+            "cc-by-sa": ("attribution sharealike", "by sa"),
+            "cc-by-nd": ("attribution noderivatives", "attribution noderivs", "by nd"),
+            "cc-by-nc": ("attribution noncommercial", "by nc"),
+            "cc-by-nc-sa": ("attribution noncommercial sharealike", "by nc sa"),
+            "cc-by-nc-nd": ("attribution noncommercial noderivatives", "attribution noncommercial noderivs", "by nc nd"),
+        }.items()
+    },
+}
+
 #: Bytes of a word: digits, a-z after lower-casing, and all of UTF-8 outside ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -246,19 +315,35 @@ def scan_text(
                 if words[at : at + len(wanted)] == wanted:
                     starts.append(at)
                     base.add(label)
-    found = set(base)
-    spans = []
     score = 1.0 if base else 0.0
-    matches = automaton.matches(words, least)
-    if matches:
-        for number, chains in chain(matches, automaton, slack).items():
-            for covered, start, end in chains:
-                share = covered / len(automaton.templates[number])
-                score = max(score, share)
-                if share >= coverage:
-                    found.add(labels[number])
-                    spans.append((labels[number], start, end, share))
-    return len(words), starts, base, found, score, sorted(spans)
+    likely = []
+    for number, chains in chain(automaton.matches(words, least), automaton, slack).items():
+        for covered, start, end in chains:
+            share = covered / len(automaton.templates[number])
+            score = max(score, share)
+            if share >= coverage and _tells(words, start, end, labels[number]):
+                likely.append((covered, share, labels[number], start, end))
+    spans = _winners(likely)
+    return len(words), starts, base, base | {s[0] for s in spans}, score, spans
+
+
+def _tells(words: list[bytes], start: int, end: int, label: str) -> bool:
+    """Whether the span, or its edge with the next three words, holds a phrase that tells the licence from others of its family."""
+    phrases = TELLING.get(label)
+    text = b" %s " % b" ".join(words[start : end + 3])
+    return phrases is None or any(b" %s " % p.encode() in text for p in phrases)
+
+
+def _winners(likely: list[tuple[int, float, str, int, int]]) -> list[tuple[str, int, int, float]]:
+    """Of overlapping (covered, share, label, start, end) the one of most words, then of the larger share; as (label, start, end, share) by place."""
+    taken: list[tuple[int, int]] = []  # by place
+    out = []
+    for _, share, label, start, end in sorted(likely, key=lambda x: (-x[0], -x[1], x[3], x[2])):
+        at = bisect(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
+            out.append((label, start, end, share))
+    return sorted(out, key=lambda x: x[1:3])
 
 
 def scan_licenses(
@@ -273,8 +358,9 @@ def scan_licenses(
 
     Columns: doc_id; n_words; n_base, first_word and last_word (number, smallest and
     largest start of all phrase places; null without one); base_labels; labels (also those
-    templates of which chained matches of at least ``least`` words cover ``coverage``); score (1
-    with a phrase, else the best template's coverage); spans (label, first word, end, coverage), one for each copy.
+    templates of which chained matches of at least ``least`` words cover ``coverage`` and hold a telling phrase, if no
+    longer span overlaps); score (1 with a phrase, else the best template's coverage); spans (label, first word, end, coverage), one
+    for each copy, by place.
 
     Edge cases: a null or empty text has no words, no label and score 0; null ids pass
     through; repeated rows are scanned one by one; other columns are ignored; an empty table

@@ -149,6 +149,37 @@ def test_automaton_matching_statistics():
             assert places == {(t, e) for t, x in enumerate(templates) for e in range(n - 1, len(x)) if x[e + 1 - n : e + 1] == words[end + 1 - n : end + 1]}
 
 
+def test_variants_of_licenses_are_told_apart(spark):
+    whole = [(label, t) for label, texts in L.TEMPLATES.items() for t in texts]
+    edited = [(label, t.replace("4.0 International", "3.0 Unported").replace("4.0", "3.0").replace("version 3", "version 2")) for label, t in whole]
+    unknown = [("", L.TEMPLATES["gpl"][0].replace("GNU General", "GNU Other General")), ("", L.TEMPLATES["cc-by"][0].replace("Attribution", "Attribution-Something"))]
+    rows = whole + edited + unknown
+    frame = spark.createDataFrame([(i, "some code here. " + t + " and more code") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in L.scan_licenses(frame).collect()}
+    assert [(label, found[i]) for i, (label, _) in enumerate(rows)] == [(label, {label} if label else set()) for label, _ in rows]
+
+
+def test_best_chain_against_all_chains():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        template = [b"%d" % x for x in rng.integers(0, 3, 9)]
+        automaton = L.SuffixAutomaton([template])
+        words = [b"%d" % x for x in rng.integers(0, 4, 14)]
+        nodes = [(e, n, p) for e, n, state in automaton.matches(words, 2) for p in automaton.ends[state][0]]
+
+        def longest(last, covered, slack=2):
+            best = covered
+            for e, n, p in nodes:
+                if e > last[0] and p > last[2] and e - n + 1 - last[0] - 1 <= slack and p - n + 1 - last[2] - 1 <= slack:
+                    best = max(best, longest((e, n, p), covered + min(n, e - last[0], p - last[2])))
+            return best
+
+        wanted = max((longest(x, x[1]) for x in nodes), default=0)
+        chains = L.chain(automaton.matches(words, 2), automaton, 2).get(0, [])
+        assert max((c for c, _, _ in chains), default=0) == wanted
+        assert all(a[2] <= b[1] for a, b in zip(sorted(chains, key=lambda c: c[1]), sorted(chains, key=lambda c: c[1])[1:]))
+
+
 def test_every_copy_of_a_license_is_a_span(spark):
     label, text = next((label, texts[0]) for label, texts in L.TEMPLATES.items())
     n = len(L.words_of(text))
