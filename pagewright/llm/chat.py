@@ -2,8 +2,8 @@
 
 A declarative template names the roles, the transitions between them, the text
 around each turn and the roles that carry loss. The machine runs as one
-``aggregate`` over the ordered turns of a conversation, so the whole operator is
-built of SQL functions: no Python runs on the executors.
+``aggregate`` over the ordered turns of a conversation that carries only its state; segments are
+emitted turn by turn. The whole operator is built of SQL functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def unescape(text: Column, template: ChatTemplate, line_breaks: bool = False) ->
 
 
 def _machine(turns: Column, template: ChatTemplate) -> Column:
-    """Run the machine: struct(state, error_turn, segments)."""
+    """Run the machine: struct(state, error_turn, at)."""
     edges = F.create_map(
         *(
             x
@@ -71,37 +71,40 @@ def _machine(turns: Column, template: ChatTemplate) -> Column:
             for x in (F.lit(state), F.array(*(F.lit(r) for r in roles)))
         )
     )
-    no_segments = F.array().cast("array<struct<text:string,loss:boolean>>")
     zero = F.struct(
         F.lit(template.start).alias("state"),
         F.lit(None).cast("long").alias("error_turn"),
         F.lit(0).cast("long").alias("at"),
-        no_segments.alias("segments"),
     )
 
-    def segment(text: Column, loss: Column) -> Column:
-        return F.struct(text.alias("text"), loss.alias("loss"))
-
     def step(acc: Column, turn: Column) -> Column:
         legal = F.coalesce(F.array_contains(F.try_element_at(edges, acc["state"]), turn["role"]), F.lit(False))
-        emitted = F.array(
-            segment(
-                F.concat(F.lit(template.open), escape(turn["role"], template, True), F.lit(template.after_role)),
-                F.lit(False),
-            ),
-            segment(escape(turn["text"], template), turn["role"].isin(*template.loss_roles)),
-            segment(F.lit(template.close + template.after_close), F.lit(False)),
-        )
         return F.struct(
             turn["role"].alias("state"),
             F.coalesce(acc["error_turn"], F.when(~legal, acc["at"])).alias("error_turn"),
             (acc["at"] + 1).alias("at"),
-            F.concat(acc["segments"], emitted).alias("segments"),
         )
 
     return F.aggregate(turns, zero, step)
 
 
+def _segments(turns: Column, template: ChatTemplate) -> Column:
+    """Array of (text, loss): three for each turn."""
+
+    def segment(text: Column, loss: Column) -> Column:
+        return F.struct(text.alias("text"), loss.alias("loss"))
+
+    def emitted(turn: Column) -> Column:
+        opened = F.concat(F.lit(template.open), escape(turn["role"], template, True), F.lit(template.after_role))
+        return F.array(
+            segment(opened, F.lit(False)),
+            segment(escape(turn["text"], template), turn["role"].isin(*template.loss_roles)),
+            segment(F.lit(template.close + template.after_close), F.lit(False)),
+        )
+
+    return F.flatten(F.transform(turns, emitted))
+
+
 def format_conversations(conversations: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
     """One row per conversation: conv_id, n_turns, segments, formatted, valid, complete, error_turn.
 
@@ -124,12 +127,13 @@ def format_conversations(conversations: DataFrame, template: ChatTemplate | None
     )
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # Nulls sort first by default in array_sort's natural struct order.
-    ran = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _machine(F.col("turns"), template).alias("m"))
+    turns = F.col("turns")
+    ran = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _machine(turns, template).alias("m"), _segments(turns, template).alias("segments"))
     return ran.select(
         "conv_id",
         "n_turns",
-        F.col("m.segments").alias("segments"),
-        F.array_join(F.transform("m.segments", lambda s: s["text"]), "").alias("formatted"),
+        "segments",
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         F.col("m.error_turn").isNull().alias("valid"),
         (F.col("m.error_turn").isNull() & F.col("m.state").isin(*template.final)).alias("complete"),
         F.col("m.error_turn").alias("error_turn"),

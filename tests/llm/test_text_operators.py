@@ -45,6 +45,21 @@ def test_chat_round_trip(spark):
         assert r["loss"] == "".join(t for role, t in wanted if role == "assistant")
 
 
+def test_loss_segments_are_those_of_the_formatted_text(spark):
+    template = ChatTemplate()
+    rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(NASTY * 2)]
+    out = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    r = out.select("formatted", "segments", read_back(F.col("formatted"), template).alias("t"), loss_text(F.col("segments"), template).alias("loss")).first()
+    assert r["formatted"] == "".join(s["text"] for s in r["segments"])
+    assert r["loss"] == "".join(t["text"] for t in r["t"] if t["role"] in template.loss_roles) != ""
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    one = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("text"))
+    r = format_conversations(one).first()
+    assert r["n_turns"] == 20_000 and r["complete"] and len(r["segments"]) == 60_000
+
+
 def test_chat_machine(spark):
     rows = [(1, 0, "system", ""), (1, 1, "user", ""), (1, 2, "assistant", ""), (2, 0, "assistant", ""), (3, 0, "user", ""), (3, 1, "user", ""), (4, 0, "user", ""), (5, None, "user", "a"), (5, None, "user", "a"), (6, 0, None, None)]
     out = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
