@@ -62,14 +62,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete what ``stored`` wrote for frames that nothing reads any more; others are left alone."""
     for frame in frames:
         path = getattr(frame, "scratch_path", None)
         if path:
-            context = frame.sparkSession.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            remove(frame.sparkSession, path)
 
 
 def measured_bytes(frame: DataFrame) -> int:
@@ -102,8 +106,8 @@ def hot_keys(counted: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
     return counted.filter(F.col("rows") > part).select(*keys, F.ceil(F.col("rows") / part).cast("int").alias("parts"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataFrame, total: int) -> DataFrame:
-    """An inner join in which no task gets all rows of a hot key of the left side.
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """An inner or left join in which no task gets all rows of a hot key of the left side.
 
     Rows of a hot key are dealt to parts by their own values, so a repeated task deals them alike, and the right side's
     rows of that key are repeated for each part: at most ``2 * HOT_KEYS`` parts in all.
@@ -113,7 +117,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: D
     parts = F.coalesce("parts", F.lit(1))
     dealt = left.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), parts.cast("long")).cast("int")).drop("parts")
     again = right.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(again, [*keys, "part"]).drop("part")
+    return dealt.join(again, [*keys, "part"], how).drop("part")
 
 
 def without(documents: DataFrame, gone: DataFrame) -> DataFrame:

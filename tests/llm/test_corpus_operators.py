@@ -333,6 +333,18 @@ def test_broken_archives_are_refused(spark, tmp_path):
         (folder / "a.txt.gz").write_bytes(gzip.compress(b"".join(broken)))
         with pytest.raises(Exception):
             warc.read_archives(spark, folder.as_uri()).collect()
+    again = lambda page, refers, digest, length: warc.build_records("v", page, "u", b"p" * length, digest, refers, 9000, 300, "u")
+    whole, good = warc.build_records("r", 1, "u", b"pp", warc.base32_sha1(b"pp"), None, 9000, 300), warc.base32_sha1(b"pp")
+    for revisit, fits in ((again(2, 1, good, 2), True), (again(2, 3, good, 2), False), (again(2, 1, warc.base32_sha1(b"q"), 2), False), (again(2, 1, good, 3), False)):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        (folder / "a.txt.gz").write_bytes(gzip.compress(b"".join([warc.info_record(0), *whole, *revisit])))
+        if fits:
+            rows = {r["page_id"]: r for r in warc.read_archives(spark, folder.as_uri()).collect()}
+            assert len(rows) == 2 and rows[2]["refers_to"] == 1 and rows[2]["payload_bytes"] == 2
+        else:
+            with pytest.raises(Exception):
+                warc.read_archives(spark, folder.as_uri()).collect()
     shuffled = tmp_path / "good"
     shuffled.mkdir()
     for i, r in enumerate(reversed(records)):  # any order, any file
