@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import argparse
 import math
+import os
 import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.operators import pages as pages_of
 from pagewright.plans.pipeline import DocumentPipeline, Options, white_ratios
 from pagewright.sources import files, images, pdf
@@ -69,34 +72,56 @@ def _ratios(spark: SparkSession, folder: Path, name: str) -> DataFrame:
     return white_ratios(read.withColumn("doc_id", F.lit(name)).withColumn("page_num", number))
 
 
-def _export_diagrams(spark: SparkSession, path: Path, repaired: DataFrame, folder: Path, count: int, scale: float) -> None:
-    """Write the diagrams that the Markdown names: image placements from the PDF, the model's boxes from the page image.
+def _export_diagrams(spark: SparkSession, path: Path, repaired: DataFrame, folder: Path, count: int, scale: float) -> tuple[dict[int, int], dict[int, list[int]]]:
+    """Write the diagrams of all pages: image placements from the PDF, the model's boxes from the page image.
 
-    A diagram that can't be cropped is reported and never fails its page.
+    Returns how many each page has, and the numbers of those that could not be cropped, which never fail their page.
     """
     rows = repaired.select("doc_id", "page_num", "from_source", F.posexplode("crops").alias("i", "c"))
     rows = rows.select("doc_id", "page_num", "from_source", (F.col("i") + 1).alias("number"), "c.*").cache()
     name = lambda r: f"{files.page_name(r['page_num'], count)}_diagram_{r['number']}.jpg"
-    missing = []
+    made: dict[int, int] = {}
+    missing: dict[int, list[int]] = {}
+
+    def note(r, there: bool) -> None:
+        if there:
+            made[r["page_num"]] = made.get(r["page_num"], 0) + 1
+        else:
+            missing.setdefault(r["page_num"], []).append(r["number"])
+            print(f"diagram {name(r)} could not be cropped", file=sys.stderr)
+
     placed = rows.filter("from_source").drop("from_source")
     if not placed.isEmpty():
         for r in pdf.crop_regions(spark, path.resolve().as_uri(), placed, scale).toLocalIterator():
-            if r["content"] is None:
-                missing.append(name(r))
-            else:
+            if r["content"] is not None:
                 files.write_bytes(folder / "diagrams" / name(r), bytes(r["content"]))
+            note(r, r["content"] is not None)
     for r in rows.filter("NOT from_source").toLocalIterator():
         box = tuple(int(r[c]) for c in ("x0", "y0", "x1", "y1"))
-        if not images.crop_file(spark, (folder / "pages" / f"{files.page_name(r['page_num'], count)}.jpg").resolve(), box, (folder / "diagrams" / name(r)).resolve()):
-            missing.append(name(r))
-    for m in missing:
-        print(f"diagram {m} could not be cropped", file=sys.stderr)
+        note(r, images.crop_file(spark, (folder / "pages" / f"{files.page_name(r['page_num'], count)}.jpg").resolve(), box, (folder / "diagrams" / name(r)).resolve()))
+    return made, missing
+
+
+def _without_lost(spark: SparkSession, repaired: DataFrame, missing: dict[int, list[int]], count: int) -> DataFrame:
+    """The pages without references to diagrams that were not written."""
+    if not missing:
+        return repaired
+    lost = spark.createDataFrame([(p, sorted(n)) for p, n in missing.items()], "page_num int, lost array<int>")
+    stem = T.page_stem(F.col("page_num"), F.lit(count))
+    lines = F.transform("lost", lambda n: F.concat(F.lit("\n"), T.diagram_reference(stem, n)))
+    block = F.concat(F.lit("\n"), F.array_join(lines, ""))
+    one_by_one = F.aggregate(lines, F.col("markdown"), lambda text, line: F.replace(text, line, F.lit("")))
+    kept = F.when(F.size("lost") == F.size("crops"), F.replace("markdown", block, F.lit(""))).otherwise(one_by_one)
+    rows = repaired.join(F.broadcast(lost), "page_num", "left").withColumn("markdown", F.when(F.col("lost").isNull(), F.col("markdown")).otherwise(kept))
+    return rows.select(*repaired.columns)
 
 
 def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     path: Path = arguments.pdf_path
-    if not path.is_file():
+    if not path.exists():
         raise Exit(MISSING, f"no such file: {path}")
+    if not path.is_file() or not os.access(path, os.R_OK):
+        raise Exit(UNREADABLE, f"not a readable file: {path}")
     try:
         config = load_config(path.parent, Path.cwd())
     except ConfigError as error:
@@ -109,7 +134,13 @@ def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     config = type(config)(tuple(alive), config.render_workers, config.timeout)
     run = DocumentPipeline(spark, folder.resolve().as_uri(), config, options)
     facts = pdf.read_facts(spark, path.resolve().as_uri()).cache()
-    if facts.filter("page_count > 0").isEmpty():
+    try:
+        unreadable = facts.filter("page_count > 0").isEmpty()
+    except PythonException as error:
+        if pdf.PdfLibraryMissing.__name__ not in str(error):
+            raise
+        raise Exit(UNREADABLE, "reading PDF files needs PyMuPDF") from error
+    if unreadable:
         raise Exit(UNREADABLE, f"not a readable PDF: {path}")
     known = run.state.documents().collect()  # one document per folder
     count = facts.agg(F.max("page_count")).first()[0]
@@ -147,10 +178,13 @@ def _run(arguments: argparse.Namespace, spark: SparkSession) -> None:
     if pages_of.failure_gates(run.state.pages(), documents).first()["all_recognition_failed"]:
         raise Exit(NO_RECOGNITION, "no page could be recognised")
     repaired = run.repair(facts).cache()
-    markdown = run.combine(facts, repaired).first()
     try:
+        made, missing = _export_diagrams(spark, path, repaired, folder, count, options.dpi_scale)
+        repaired = _without_lost(spark, repaired, missing, count)
         files.export_pages(repaired, folder, count)
-        _export_diagrams(spark, path, repaired, folder, count, options.dpi_scale)
+        if made:
+            run.state.append(spark.createDataFrame([(name, p, n) for p, n in made.items()], "doc_id string, page_num int, diagram_count int"))
+        markdown = run.combine(facts, repaired).first()
         files.write_text(path.with_suffix(".md"), markdown["markdown"] if markdown else "")
         files.export_state(run.state.pages(), folder / "state.json", str(path.resolve()), count, True)
     except OSError as error:

@@ -196,12 +196,68 @@ def test_run_writes_blank_markers_diagrams_and_archives(spark, tmp_path, monkeyp
     size = spark.read.format("image").load((folder / "diagrams/page_2_diagram_1.jpg").as_uri()).select("image.width", "image.height").first()
     assert tuple(size) == (33, 19)  # 40 x 20, trimmed to 95 %, from -5 clamped to 0
     assert "diagrams/page_2_diagram_1.jpg" in (tmp_path / "book.md").read_text()
+    assert "diagram_2" not in (tmp_path / "book.md").read_text() + (folder / "pages/page_2.md").read_text()  # it lies outside the image
+    assert {n: p["diagram_count"] for n, p in json.loads((folder / "state.json").read_text())["pages"].items()} == {"1": 0, "2": 1, "3": 1}
     assert cli.run([str(tmp_path / "book.pdf"), "--rerun-pages", "2"], spark) == 0
     archived = {str(p.relative_to(folder / "_archive")).split("/", 1)[1] for p in (folder / "_archive").rglob("*.*") if p.suffix in (".md", ".jpg")}
     assert archived == {"book.md", "pages/page_2.md", "pages/page_2.jpg", "diagrams/page_2_diagram_1.jpg"}
     assert (folder / "diagrams/page_2_diagram_1.jpg").is_file() and (tmp_path / "book.md").is_file()
 
 
+def test_exit_codes(spark, tmp_path, monkeypatch, capsys):
+    from functools import partial
+
+    (tmp_path / "folder.pdf").mkdir()
+    assert cli.run([str(tmp_path / "folder.pdf")], spark) == 3
+    path = tmp_path / "book.pdf"
+    path.write_bytes(b"%PDF")
+    monkeypatch.setattr(cli, "probe", list)
+    assert cli.run([str(path)], spark) == 3  # without the PDF library
+    state = {"facts": 0, "rendered": False, "reply": None}
+    row = lambda n: (path.as_uri(), 2, n, True, False, None, [], [], [], [], [])
+    monkeypatch.setattr(pdf, "read_facts", lambda *_: spark.createDataFrame([row(n) for n in range(1, state["facts"] + 1)], pdf.FACTS))
+    image = _jpeg(spark, tmp_path / "i.jpg", (10, 10, 30, 20))
+    render = lambda spark, path, pages, scale: pages.withColumn("content", F.lit(image if state["rendered"] else None).cast("binary")).withColumn("error", F.lit(None).cast("string"))
+    monkeypatch.setattr(pdf, "render", render)
+
+    def at(folder, **new):
+        state.update(new)
+        reply = state["reply"]
+
+        def transport(instance, content, timeout):
+            if reply is None:
+                raise OSError("down")
+            return reply
+
+        monkeypatch.setattr(cli, "DocumentPipeline", partial(DocumentPipeline, transport=transport))
+        nonlocal path
+        (tmp_path / folder).mkdir(exist_ok=True)
+        path = tmp_path / folder / "book.pdf"
+        path.write_bytes(b"%PDF")
+        return cli.run([str(path)], spark)
+
+    assert at("a") == 3  # no page
+    assert at("b", facts=2) == 5
+    assert at("c", rendered=True) == 6
+    (tmp_path / "d/book.md").mkdir(parents=True)
+    assert at("d", reply=json.dumps({"text": "words", "diagrams": []})) == 7
+    assert at("e") == 0 and (tmp_path / "e/book.md").read_text().startswith("--- PAGE 1 ---\nwords")
+    assert at("e") == 0  # already complete
+    row = lambda n: (path.as_uri(), 3, n, True, False, None, [], [], [], [], [])
+    assert at("e", facts=3) == 8
+    capsys.readouterr()
+
+
+def test_diagrams_that_were_not_cropped_leave_no_reference(spark):
+    ref = "![Diagram {0}](diagrams/page_2_diagram_{0}.jpg)".format
+    pages = [(1, "a", 0), (2, "\n".join(["text", "", ref(1), ref(2), ref(3), "", "## Comments"]), 3)]
+    frame = spark.createDataFrame(pages, "page_num int, markdown string, n int").select("page_num", "markdown", F.array_repeat(F.lit(1), F.col("n")).alias("crops"))
+    text = lambda lost: dict(tuple(r)[:2] for r in cli._without_lost(spark, frame, {2: lost} if lost else {}, 3).collect())
+    assert text([])[2] == pages[1][1]
+    assert text([2])[2] == "\n".join(["text", "", ref(1), ref(3), "", "## Comments"]) and text([2])[1] == "a"
+    assert text([1, 2, 3])[2] == "\n".join(["text", "", "## Comments"])
+
+
 def test_stream(spark, tmp_path):
     from pagewright.streaming import read_page_stream, write_page_stream
 
