@@ -226,28 +226,6 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_num", F.array_join(F.transform("headings", lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["norm"])), "|").alias("headings"))
 
 
-_TITLES = """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '## **' || w || ':**' WHEN 1 THEN '#  _' || w || '_ ' WHEN 2 THEN '- ' || w || ' * x' ELSE '**a *b** ' || w END AS line
-FROM (SELECT doc_id, substr(replace(text, chr(10), '  '), 1, 60) AS w FROM documents)
-"""
-
-
-@_query(f"""
-SELECT doc_id, trim(lower(trim(regexp_replace(regexp_replace(line, '[#*_`]+', '', 'g'), '\\s+', ' ', 'g'))), '.,:;!?-—–') AS norm FROM ({_TITLES})
-""")
-def heading_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, _TITLES).select("doc_id", T.norm_heading(F.col("line")).alias("norm"))
-
-
-@_query(f"""
-SELECT doc_id, trim(coalesce(nullif(regexp_extract(b, '^(?:\\*{{1,3}}([^*]+)\\*{{1,3}})$', 1), ''), nullif(regexp_extract(b, '^(?:_{{1,3}}([^_]+)_{{1,3}})$', 1), ''), b)) AS clean
-FROM (SELECT doc_id, trim(regexp_replace(line, '^[ \\t]*#{{1,6}}[ \\t]+', '')) AS b FROM ({_TITLES}))
-""")
-def heading_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, _TITLES).select("doc_id", T.clean_heading(F.col("line")).alias("clean"))
-
-
-# heading_norm and heading_clean, whose SQL cuts each text, read its beginning; these read every line of the whole text.
 _HEADING_LINES = """
 SELECT doc_id, n, CASE n % 4 WHEN 0 THEN '## **' || line || ':**' WHEN 1 THEN '#  _' || line || '_ ' WHEN 2 THEN '- ' || line || ' * x' ELSE '**a *b** ' || line END AS line
 FROM (SELECT doc_id, CAST(i AS INT) AS n, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
@@ -265,7 +243,7 @@ def _heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
 SELECT doc_id, n, trim(lower(trim(regexp_replace(regexp_replace(line, '[#*_`]+', '', 'g'), '\\s+', ' ', 'g'))), '.,:;!?-—–') AS norm FROM ({_HEADING_LINES})
 """)
-def heading_norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heading_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heading_lines(spark, sf_dir).select("doc_id", "n", T.norm_heading(F.col("line")).alias("norm"))
 
 
@@ -273,7 +251,7 @@ def heading_norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, n, trim(coalesce(nullif(regexp_extract(b, '^(?:\\*{{1,3}}([^*]+)\\*{{1,3}})$', 1), ''), nullif(regexp_extract(b, '^(?:_{{1,3}}([^_]+)_{{1,3}})$', 1), ''), b)) AS clean
 FROM (SELECT doc_id, n, trim(regexp_replace(line, '^[ \\t]*#{{1,6}}[ \\t]+', '')) AS b FROM ({_HEADING_LINES}))
 """)
-def heading_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heading_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heading_lines(spark, sf_dir).select("doc_id", "n", T.clean_heading(F.col("line")).alias("clean"))
 
 
@@ -368,8 +346,8 @@ FROM lineitem
 
 
 @_query(f"""
-SELECT doc_id, n, greatest(0, x) AS x0, greatest(0, y) AS y0, least(400, x + CAST(floor(coalesce(w, 0) * CAST(0.95 AS DOUBLE)) AS BIGINT)) AS x1,
-  least(500, y + CAST(floor(h * CAST(0.95 AS DOUBLE)) AS BIGINT)) AS y1 FROM ({_BOXES})
+SELECT doc_id, n, greatest(0, x) AS x0, greatest(0, y) AS y0, least(400, x + CAST(trunc(coalesce(w, 0) * CAST(0.95 AS DOUBLE)) AS BIGINT)) AS x1,
+  least(500, y + CAST(trunc(h * CAST(0.95 AS DOUBLE)) AS BIGINT)) AS y1 FROM ({_BOXES})
 """)
 def bbox_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.lit(400).cast("long"), F.lit(500).cast("long")
@@ -399,8 +377,7 @@ def diagram_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, base64(encode(text)) AS payload FROM documents")
 def base64_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
-    return _read(spark, sf_dir, "documents").select("doc_id", payload.alias("payload"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.base64_payload(F.encode("text", "UTF-8")).alias("payload"))
 
 
 @_query("""
@@ -509,15 +486,26 @@ def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.groupBy("doc_id", "g").agg(F.min("i").alias("first_line"), (F.max("i") + 1).alias("end_line")).drop("g")
 
 
-# --- folds without SQL equivalent; tests compare them with worked cases ---------------------------
+# --- folds; tests compare those without SQL with worked cases ---------------------------
 
-@_query()
+@_query("""
+SELECT doc_id, list_aggregate(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN regexp_replace(x, '^3\\.[ \\t]+(\\S)', '1. \\1')
+  WHEN regexp_matches(x, '^  \\*[ \\t]+\\S') THEN CASE WHEN regexp_matches(l[1], '^3\\.[ \\t]+\\S') THEN '   - ' ELSE '- ' END || regexp_replace(x, '^  \\*[ \\t]+', '') ELSE x END), 'string_agg', chr(10)) AS text
+FROM (SELECT doc_id, string_split('3. ' || replace(text, chr(10), chr(10) || '  * '), chr(10)) AS l FROM documents)
+""")
 def normalised_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.regexp_replace("text", "\n", "\n  * ")
     return _read(spark, sf_dir, "documents").select("doc_id", repair.normalise_lists(F.concat(F.lit("3. "), listed)).alias("text"))
 
 
-@_query()
+@_query(f"""
+WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split('Alpha ii Beta iv Gamma 7' || chr(10) || text, chr(10)) AS l FROM documents)),
+tokens AS (SELECT *, list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '') AS t FROM lines),
+refs AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i: list_transform([t[i]], lambda w: {_REF})[1]) AS p FROM tokens),
+runs AS (SELECT *, len(p) >= 3 AND p[-1] = len(t) AND list_max(list_transform(p, lambda e, j: e - CASE WHEN j = 1 THEN 0 ELSE p[j - 1] END)) <= 14 AS run FROM refs)
+SELECT doc_id, string_agg(CASE WHEN run THEN list_aggregate(list_transform(p, lambda e, j: list_aggregate(t[CASE WHEN j = 1 THEN 1 ELSE p[j - 1] + 1 END:e], 'string_agg', ' ')), 'string_agg', chr(10))
+  ELSE line END, chr(10) ORDER BY n) AS text FROM runs GROUP BY doc_id
+""")
 def split_index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.concat(F.lit("Alpha ii Beta iv Gamma 7\n"), F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", repair.split_index_runs(run).alias("text"))
@@ -536,7 +524,11 @@ def fixed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", repair.fix_headings("text", found, F.lit(True)).alias("text"))
 
 
-@_query()
+@_query("""
+SELECT doc_id, CAST(1 AS INT) AS page_num, CASE WHEN doc_id % 3 < 2 THEN list_aggregate(list_transform(string_split(regexp_replace('> ' || text, '\\n$', ''), chr(10)), lambda x: regexp_replace(x, '^> ', '')), 'string_agg', chr(10)) END AS text,
+  CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 4 + 1 AS INT) END AS n_boxes, CASE WHEN doc_id % 3 = 2 THEN '''text'' or ''diagrams'' is missing' END AS error
+FROM documents
+""")
 def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.concat(F.lit("> "), F.col("text")).alias("text")
     box = lambda i: F.struct((i * 10).alias("x"), (F.col("n_chars") % 700).alias("y"), F.col("n_chars").alias("width"), i.alias("height"))

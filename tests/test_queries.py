@@ -50,7 +50,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["heading_norm_lines", "heading_clean_lines"])
+@pytest.mark.parametrize("name", ["heading_norm", "heading_clean"])
 def test_heading_lines_read_whole_texts(spark, con, name):
     lines = con.sql("select count(*) from (select unnest(string_split(text, chr(10))) from documents)").fetchall()[0][0]
     frame = registry.queries()[name](spark, SF)
