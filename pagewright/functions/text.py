@@ -97,22 +97,38 @@ def closes_fence(line: Column, opening: Column) -> Column:
     return (run != "") & (F.left(run, F.lit(1)) == F.left(opening, F.lit(1))) & (F.length(run) >= F.length(opening)) & (bare == run)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: what stands in a lambda is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fence_states(lines: Column) -> Column:
-    """For an array of lines: whether each belongs to a code block, as an array of booleans."""
-    zero = F.struct(F.lit("").alias("opening"), F.array().cast("array<boolean>").alias("code"))
+    """For an array of lines: whether each belongs to a code block, as an array of booleans.
+
+    The fold sees only lines that could delimit a block and keeps their places; the flags are then laid out between those.
+    """
+    told = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: x["line"].rlike(FENCE))
+    zero = F.struct(F.lit("").alias("opening"), F.array().cast("array<int>").alias("places"))
 
-    def step(acc: Column, line: Column) -> Column:
-        starts = (acc["opening"] == "") & (fence_run(line) != "")
-        ends = (acc["opening"] != "") & closes_fence(line, acc["opening"])
-        opening = F.when(starts, fence_run(line)).when(ends, "").otherwise(acc["opening"])
-        return F.struct(opening.alias("opening"), F.concat(acc["code"], F.array(starts | (acc["opening"] != ""))).alias("code"))
+    def step(acc: Column, x: Column) -> Column:
+        opening = acc["opening"]
+        ends = closes_fence(x["line"], opening)
+        now = F.when(opening == "", fence_run(x["line"])).when(ends, "").otherwise(opening)
+        places = F.when((opening == "") | ends, F.concat(acc["places"], F.array(x["i"]))).otherwise(acc["places"])
+        return F.struct(now.alias("opening"), places.alias("places"))
 
-    return F.aggregate(lines, zero, step, lambda acc: acc["code"])
+    folded = F.struct(F.aggregate(told, zero, step, lambda acc: acc["places"]).alias("places"), (F.size(lines) - 1).alias("last"))
+    flags = lambda value, n: F.array_repeat(F.lit(value), n.cast("int"))
 
+    def laid_out(found: Column) -> Column:
+        at, last = found["places"], found["last"]
+        end = lambda k: F.when(k < 0, -1).otherwise(F.coalesce(F.get(at, k), last))  # noqa: E731  an open block goes to the last line
+        blocks = F.when(F.size(at) > 0, F.sequence(F.lit(0), F.size(at) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(blocks, lambda k: F.concat(flags(False, F.get(at, k) - end(k - 1) - 1), flags(True, end(k + 1) - F.get(at, k) + 1)))
+        closed = F.when(F.size(at) % 2 == 1, last).otherwise(end(F.size(at) - 1))
+        return F.concat(F.flatten(parts), flags(False, last - closed))
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once: what stands in a lambda is evaluated again for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return _let(folded, laid_out)
 
 
 def render_table(rows: Column) -> Column:
@@ -152,8 +168,13 @@ def rebase_references(markdown: Column, folder: Column) -> Column:
 
 
 def trim_extent(extent: Column) -> Column:
-    """A box side, less five hundredths; missing as 0."""
-    return F.floor(F.coalesce(extent, F.lit(0)).cast("long") * F.lit(TRIM).cast("double")).cast("long")
+    """A box side, less five hundredths, cut towards zero; missing as 0."""
+    return (F.coalesce(extent, F.lit(0)).cast("long") * F.lit(TRIM).cast("double")).cast("long")
+
+
+def base64_payload(content: Column) -> Column:
+    """Bytes as base64 in one line."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def clamp_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

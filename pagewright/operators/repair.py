@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pagewright.functions import lines as L
+from pagewright.functions import text as T
 from pagewright.operators import facts as facts_of
 from pagewright.operators import headings as headings_of
 from pagewright.operators import pages as pages_of
@@ -71,8 +72,7 @@ def splice_tables_by_position(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """
     split = pages.select("doc_id", "page_num", F.split("text", "\n").alias("lines"))
     joined = split.join(tables, ["doc_id", "page_num"], "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<string>")))
-    piped = F.transform("lines", lambda x: F.ltrim(F.translate(x, "\t", " ")).startswith("|"))
-    marked = joined.withColumn("piped", piped)
+    marked = joined.withColumn("piped", F.transform("lines", T.is_table_row))
     # The number of blocks up to each line, from the places where a run of piped lines starts.
     starts = F.transform("piped", lambda p, i: F.when(p & ((i == 0) | ~F.get("piped", i - 1)), i + 1).otherwise(0))
     marked = marked.withColumn("starts", F.filter(starts, lambda x: x > 0))

@@ -34,6 +34,12 @@ def test_clamp_and_trim(spark):
     assert tuple(spark.range(1).select(box).first()[0]) == (0, 5, 80, 150)
 
 
+def test_trim_cuts_towards_zero(spark):
+    values = [-3, -1, 0, 1, 3, 20, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v long").orderBy("i")
+    assert [r[0] for r in frame.select(T.trim_extent(F.col("v"))).collect()] == [int((v or 0) * 0.95) for v in values]
+
+
 def test_combine(spark):
     rows = [(1, 2, False, "x"), (1, 3, True, "![d](diagrams/p.jpg)"), (1, 1, True, "A"), (2, 1, True, None)]
     frame = spark.createDataFrame(rows, "doc_id long, page_num int, ocr_done boolean, markdown string")
@@ -59,7 +65,7 @@ def test_comments_and_links(spark):
 
 
 def test_splice_tables_by_position_equals_fold(spark):
-    texts = ["x\n| a |\n|---|\ny\n| b |", "| a |", "none", "", "\t| a\n | b\nz\n|c"]
+    texts = ["x\n| a |\n|---|\ny\n| b |", "| a |", "none", "", "\t| a\n | b\nz\n|c", "x\n\u00a0| a |\n\u2003|b"]
     for tables in (["T1\nT1b", "T2"], ["T1"], [], ["1", "2", "3"]):
         frame = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, page_num int, text string")
         listed = spark.createDataFrame([(i, 1, tables) for i in range(len(texts))], "doc_id long, page_num int, tables array<string>")
