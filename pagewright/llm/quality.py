@@ -17,7 +17,6 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import stored, text_batches, text_hash, without
@@ -130,7 +129,7 @@ class QualityModel:
 #: Shrinkage towards the pooled covariance and towards the identity, and temperatures, that ``fit`` chooses from.
 SHRINK_POOLED, SHRINK_IDENTITY, TEMPERATURES = (0.1, 0.3, 0.5, 0.7, 0.9), (0.001, 0.005, 0.02, 0.1), (1.0, 2.0, 4.0, 8.0, 16.0)
 FOLDS = 4
-#: Rows of each fold and class, at most, that the choice is judged on; the sums are of all rows.
+#: About so many rows of each fold and class the choice is judged on; the sums are of all rows.
 JUDGED_ROWS = 1_000
 
 
@@ -182,7 +181,7 @@ def fit(features: DataFrame, labels: DataFrame, shrink_pooled: float | None = No
     All labelled rows count: per class and fold their number, sums and sums of products are
     aggregated, about 200 numbers each whatever the input's size. What is not given of the shrinkages and the temperature is chosen by
     cross-validation over ``FOLDS`` folds of these labelled rows, and of no others: the choice of the least log loss on
-    at most ``JUDGED_ROWS`` rows of each fold and class. Labels that are null or neither 0 nor 1 are
+    about ``JUDGED_ROWS`` rows of each fold and class, twice as many at most. Labels that are null or neither 0 nor 1 are
     left out; of repeated labels each counts.
     """
     d = len(FEATURES)
@@ -211,10 +210,13 @@ def fit(features: DataFrame, labels: DataFrame, shrink_pooled: float | None = No
 
 def _chosen(rows: DataFrame, sums: dict[int, Sums], by_fold: dict[tuple[int, int], Sums], grid: list[tuple[float, float, float]]) -> tuple[float, float, float]:
     """The choice of the least log loss, both classes counting alike, on rows of folds that their model has not seen."""
-    place = F.row_number().over(W.partitionBy("quality", "fold").orderBy(F.xxhash64(F.lit(1), F.col("doc_id").cast("string")), "features"))
-    drawn = rows.withColumn("place", place).filter(F.col("place") <= JUDGED_ROWS).select("quality", "fold", "features").toArrow()  # at most 2 * FOLDS * JUDGED_ROWS rows
+    share = F.create_map(*(x for c, held in sums.items() for x in (F.lit(c), F.lit(min(1.0, FOLDS * JUDGED_ROWS / held.n)))))
+    dealt = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.filter(dealt < F.element_at(share, F.col("quality"))).select("quality", "fold", "features")
+    drawn = some.limit(4 * FOLDS * JUDGED_ROWS).toArrow()  # about half as many rows; the limit bounds chance
     judged = np.array(drawn["features"].combine_chunks().flatten()).reshape(drawn.num_rows, -1)
-    quality, fold = drawn["quality"].to_numpy(), drawn["fold"].to_numpy()
+    order = np.lexsort(judged.T)  # whatever order the rows come in, the sums below are the same
+    judged, quality, fold = judged[order], drawn["quality"].to_numpy()[order], drawn["fold"].to_numpy()[order]
     loss = dict.fromkeys(grid, 0.0)
     for f in range(FOLDS):
         rest = {c: x - by_fold[c, f] if (c, f) in by_fold else x for c, x in sums.items()}
