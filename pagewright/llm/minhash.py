@@ -43,7 +43,7 @@ class _Words(dict):
     """Word -> 64-bit hash, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -282,11 +282,11 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("group", "cls", "label", "n").distinct()
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: int = 256, block: int = 512, most_shingles: int = 1_000_000) -> DataFrame:
-    """Links (a < b) between members of a group in different components, at least one for each two components linked there.
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = 128, most_shingles: int = 500_000) -> DataFrame:
+    """Links between members of a group in different components, at least one for each two components linked there.
 
-    Members outside the group's largest component meet all members, block by block. A block holds about
-    ``block`` (or ``minor_block``) members, fewer if their sets have more than ``most_shingles`` together.
+    Members outside the group's largest component meet all members, block by block and each two blocks once. A block holds about
+    ``block`` members, fewer if their sets have more than ``most_shingles`` together, either of the largest component or of the others.
     """
     sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingled"))
     sizes = sizes.groupBy("group").agg(
@@ -295,23 +295,30 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, minor_block: in
         F.sum("shingled").alias("shingled"),
     )
     counted = sizes.select("group", F.col("members").alias("rows"))
-    sizes = sizes.withColumn("major", F.col("largest.label"))
-    cut = lambda members, size, shingled: F.greatest(F.ceil(members / size), F.ceil(shingled / most_shingles)).cast("int")
-    minor_blocks = cut(F.col("members") - F.col("largest.members"), minor_block, F.col("shingled") - F.col("largest.shingled"))
-    blocks = cut(F.col("members"), block, F.col("shingled"))
+    cut = lambda members, shingled: F.greatest(F.ceil(members / block), F.ceil(shingled / most_shingles)).cast("int")
+    sizes = sizes.select(
+        "group",
+        F.col("largest.label").alias("major"),
+        cut(F.col("members") - F.col("largest.members"), F.col("shingled") - F.col("largest.shingled")).alias("minor_blocks"),
+        cut(F.col("largest.members"), F.col("largest.shingled")).alias("major_blocks"),
+    ).filter("minor_blocks > 0")
     held = skew_join(rows.drop("n"), sizes, ["group"], counted, rows.count()).join(sets, "cls")
-    place = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    minor = held.filter("label <> major").select("group", place(minor_blocks).alias("i"), each(blocks).alias("j"), "cls", "label", "shingles")
+    among = lambda n: F.pmod(F.xxhash64("cls"), n.cast("long")).cast("int")
+    minor = F.col("label") != F.col("major")
+    own = F.when(minor, among(F.col("minor_blocks"))).otherwise(F.col("minor_blocks") + among(F.col("major_blocks")))
+    held = held.withColumn("own", own)
+    left = held.filter(minor).select(
+        "group", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("minor_blocks") + F.col("major_blocks") - 1)).alias("j"), "cls", "label", "shingles"
+    )
     again = [F.col(c).alias(c) for c in ("group", "cls", "label", "shingles")]  # new columns, else the two sides can't be told apart
-    every = held.select(*again, each(minor_blocks).alias("i"), place(blocks).alias("j"))
+    right = held.select(*again, F.explode(F.sequence(F.lit(0), F.least("own", F.col("minor_blocks") - 1))).alias("i"), F.col("own").alias("j"))
     keys = ["group", "i", "j"]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = _compare(left, right, percent) if left.num_rows and right.num_rows else []
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _compare(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
