@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,8 +135,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def text_batches(batches: Iterator, max_chars: int = 8 << 20) -> Iterator:
-    """Arrow batches, re-cut so that no slice holds many more than ``max_chars`` bytes of data."""
+def text_batches(batches: Iterator, max_chars: int = 4 << 20) -> Iterator:
+    """Arrow batches, re-cut so that no slice holds many more than ``max_chars`` bytes of data.
+
+    At the end of a task what Arrow keeps for later is given back, as a worker goes on to other operators.
+    """
     for batch in batches:
         size = batch.nbytes
         if size <= max_chars or batch.num_rows <= 1:
@@ -144,3 +148,4 @@ def text_batches(batches: Iterator, max_chars: int = 8 << 20) -> Iterator:
         step = max(1, batch.num_rows * max_chars // size)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()

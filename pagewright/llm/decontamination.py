@@ -44,7 +44,7 @@ _PRIME = np.uint64(0x100000001B3)
 class _Vocabulary(dict):
     """Raw token -> number; the hash and kind of a number stand in arrays. Emptied when it is large, to bound a worker's memory."""
 
-    most = 200_000
+    most = 100_000
 
     def __init__(self) -> None:
         super().__init__()
