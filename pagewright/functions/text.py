@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\u001c-\u001f\u0085   -     　]"
+#: The same characters as a plain list, for trimming without a pattern.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # The line grammar of paragraphs, see functions.lines for its use in folds.
 LIST_ITEM = r"^[ \t]*([-*+]|[0-9]+[.)]|[A-Za-z][.)]|[ivxlcdmIVXLCDM]+[.)])[ \t]+\S"
 FENCE = r"^[ \t]*(`{3,}|~{3,})"
@@ -26,6 +28,11 @@ def page_stem(page: Column, page_count: Column) -> Column:
     return F.concat(F.lit("page_"), F.lpad(page.cast("string"), width, F.lit("0")))
 
 
+def bare(text: Column) -> Column:
+    """Text without white space at its edges."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def collapse(text: Column) -> Column:
     """White space runs as one space, trimmed; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK + "+", " "))
@@ -42,9 +49,9 @@ def norm_heading(text: Column) -> Column:
 
 def clean_heading(line: Column) -> Column:
     """Visible text without heading marks and whole-line emphasis."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*#{1,6}[ \t]+", ""), f"^{BLANK}+|{BLANK}+$", "")
-    unwrapped = F.regexp_replace(bare, r"^(?:(\*{1,3})([^*\n]+)\1|(_{1,3})([^_\n]+)\3)$", "$2$4")
-    return F.regexp_replace(unwrapped, f"^{BLANK}+|{BLANK}+$", "")
+    text = bare(F.regexp_replace(line, r"^[ \t]*#{1,6}[ \t]+", ""))
+    unwrapped = F.regexp_replace(text, r"^(?:(\*{1,3})([^*\n]+)\1|(_{1,3})([^_\n]+)\3)$", "$2$4")
+    return bare(unwrapped)
 
 
 def unwrap_emphasis(text: Column) -> Column:
@@ -93,8 +100,7 @@ def fence_run(line: Column) -> Column:
 def closes_fence(line: Column, opening: Column) -> Column:
     """Whether a line ends the block that ``opening`` began."""
     run = fence_run(line)
-    bare = F.regexp_replace(line, f"^{BLANK}+|{BLANK}+$", "")
-    return (run != "") & (F.left(run, F.lit(1)) == F.left(opening, F.lit(1))) & (F.length(run) >= F.length(opening)) & (bare == run)
+    return (run != "") & (F.left(run, F.lit(1)) == F.left(opening, F.lit(1))) & (F.length(run) >= F.length(opening)) & (bare(line) == run)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,8 +12,7 @@ from pagewright.functions.lines import DEEPEST_LEVEL, HEADING_RATIO
 
 def visible_spans(spans: DataFrame) -> DataFrame:
     """Spans with visible text; ``weight`` is the length of the trimmed text, ``place`` the reading position."""
-    bare = F.regexp_replace("text", f"^{T.BLANK}+|{T.BLANK}+$", "")
-    rows = spans.withColumn("weight", F.length(bare).cast("long")).filter("weight > 0")
+    rows = spans.withColumn("weight", F.length(T.bare(F.col("text"))).cast("long")).filter("weight > 0")
     return rows.withColumn("place", F.struct("page_num", "block_no", "line_no", "span_no"))
 
 
@@ -48,7 +47,7 @@ def dominant_sizes(spans: DataFrame) -> DataFrame:
 
     A line's spans meet in one row by one shuffle; what follows are array functions.
     """
-    weight = F.length(F.regexp_replace("text", f"^{T.BLANK}+|{T.BLANK}+$", "")).cast("long")
+    weight = F.length(T.bare(F.col("text"))).cast("long")
     line = ["doc_id", "page_num", "block_no", "line_no"]
     rows = spans.select(*line, F.struct("span_no", "text", "size", weight.alias("weight")).alias("span"))
     grouped = rows.groupBy(*line).agg(F.array_sort(F.collect_list("span")).alias("s")).filter(F.exists("s", lambda x: x["weight"] > 0))
