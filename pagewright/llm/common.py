@@ -121,14 +121,20 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], counted: D
     return dealt.join(again, [*keys, "part"], how).drop("part")
 
 
-def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows but those whose doc_id and text are in ``gone`` (doc_id, text_hash); all columns, null ids and texts included.
+def told_apart(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The documents that have (``left_semi``) or lack (``left_anti``) their doc_id and text in ``rows`` (doc_id, text_hash).
 
-    What decides on a row is its text, so rows that repeat a doc_id are told apart by a 64-bit hash of theirs.
+    What decides on a row is its text, so rows that repeat a doc_id are told apart by a 64-bit hash of theirs; ids may be null.
+    Both sides are named, as documents may have columns of any names.
     """
-    marked = small_side(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_hash(F.col("text")) == F.col("_gone_hash"))
-    return documents.join(marked, same, "left_anti").select(*(f"`{c}`" for c in documents.columns))
+    marked = small_side(rows.select("doc_id", "text_hash")).alias("_marked")
+    same = F.col("_documents.doc_id").eqNullSafe(F.col("_marked.doc_id")) & (text_hash(F.col("_documents.text")) == F.col("_marked.text_hash"))
+    return documents.alias("_documents").join(marked, same, how)
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those whose doc_id and text are in ``gone`` (doc_id, text_hash); all columns, null ids and texts included."""
+    return told_apart(documents, gone, "left_anti")
 
 
 def text_hash(text: Column) -> Column:

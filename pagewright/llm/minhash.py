@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import release, skew_join, small_side, stored, text_batches, text_hash, without
+from pagewright.llm.common import release, skew_join, small_side, stored, text_batches, text_hash, told_apart, without
 
 _RING_BITS = 20
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -373,7 +373,5 @@ def remove_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80)
     repeated = gone.filter("stands").select("doc_id", "text_hash")
     if repeated.isEmpty():
         return out
-    once = documents.withColumn("_text_hash", text_hash(F.col("text")))
-    marked = small_side(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
-    once = once.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return out.unionByName(once.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash"))
+    once = told_apart(documents, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.unionByName(once)
